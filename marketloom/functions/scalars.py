@@ -36,7 +36,7 @@ def first_integer(text: Column) -> Column:
 
 def comma_items(text: Column) -> Column:
     """Distinct, trimmed, non-empty items of a comma list."""
-    items = F.transform(F.split(text, ","), F.trim)
+    items = F.transform(F.split(text, ","), lambda x: F.trim(x))
     return F.array_distinct(F.filter(items, lambda x: x != ""))
 
 

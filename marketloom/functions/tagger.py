@@ -145,14 +145,17 @@ PRICE_CLASSES = (
 # End of fixed values.
 
 
+def _has_class(cls: str):
+    """A one-word class matches any element that carries it, a longer one only as a whole."""
+    if " " in cls:
+        return lambda s: s["cls"] == cls
+    return lambda s: F.array_contains(F.split(s["cls"], r"\s+"), cls)
+
+
 def _by_price_class(spans: Column) -> Column:
     choices = []
     for cls, sale in PRICE_CLASSES:
-        # A one-word class matches any element that carries it, a longer one only as a whole.
-        if " " in cls:
-            hits = F.filter(spans, lambda s, c=cls: s["cls"] == c)
-        else:
-            hits = F.filter(spans, lambda s, c=cls: F.array_contains(F.split(s["cls"], r"\s+"), c))
+        hits = F.filter(spans, _has_class(cls))
         choices.append(
             F.when(F.size(hits) == 1, F.struct(F.lit(sale).alias("saletype"), F.get(hits, F.lit(0))["text"].alias("text")))
         )

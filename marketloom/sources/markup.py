@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from functools import lru_cache
+from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,77 +30,87 @@ LISTING_SCHEMA = (
 )
 
 
-class _ListingParser(HTMLParser):
-    """Collects the raw texts of each item on a listing page."""
-
-    VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.items: list[dict] = []
-        self._open: list[tuple[str, str]] = []
-        self._texts: list[tuple[int, list[str], object]] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.VOID:
-            return
-        cls = dict(attrs).get("class") or ""
-        self._open.append((tag, cls))
-        depth = len(self._open)
-        if tag == "div" and cls == ITEM_CLASS:
-            self.items.append({"depth": depth, "title": None, "date": None, "spans": [], "shipping": None, "price_box": 0})
-            return
-        item = self._item()
-        if item is None:
-            return
-        classes = cls.split()
-        if tag == "div" and TITLE_CLASS in classes and item["title"] is None:
-            self._listen(depth, lambda s, i=item: i.__setitem__("title", s))
-        elif tag == "span" and DATE_CLASS in classes and self._inside(DATE_BOX_CLASS) and item["date"] is None:
-            self._listen(depth, lambda s, i=item: i.__setitem__("date", s))
-        elif tag == "span" and cls == SHIPPING_CLASS and item["shipping"] is None:
-            self._listen(depth, lambda s, i=item: i.__setitem__("shipping", s))
-        elif tag == "span" and PRICE_BOX_CLASS in classes:
-            item["price_box"] += 1
-        elif tag == "span" and cls and item["price_box"] == 1 and self._inside(PRICE_BOX_CLASS):
-            self._listen(depth, lambda s, i=item, c=cls: i["spans"].append((c, s)))
-
-    def handle_data(self, data):
-        for _, parts, _done in self._texts:
-            parts.append(data)
-
-    def handle_endtag(self, tag):
-        if not any(t == tag for t, _ in self._open):
-            return
-        while True:
-            depth = len(self._open)
-            name, _ = self._open.pop()
-            self._finish(depth)
-            if name == tag:
-                return
-
-    def close(self):
-        super().close()
-        self._finish(0)
-
-    def _item(self):
-        if self.items and 0 < self.items[-1]["depth"] <= len(self._open):
-            return self.items[-1]
-        return None
-
-    def _inside(self, cls: str) -> bool:
-        return any(cls in c.split() for _, c in self._open[:-1])
-
-    def _listen(self, depth, done):
-        self._texts.append((depth, [], done))
-
-    def _finish(self, depth):
-        """Hand over the texts of elements that end at ``depth`` or deeper."""
-        for d, parts, done in [t for t in self._texts if t[0] >= depth]:
-            done("".join(parts))
-        self._texts = [t for t in self._texts if t[0] < depth]
-        if self.items and self.items[-1]["depth"] >= max(depth, 1):
-            self.items[-1]["depth"] = -1
+# One scan of a page visits only these tags; comments and scripts are stepped over.
+_TOKEN = re.compile(
+    r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<(/?)(div|span|table|a|td)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    re.I | re.S,
+)
+_ATTRIBUTE = re.compile(r"""([\w-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_ANY_TAG = re.compile(r"<[^>]*>")
+
+
+@lru_cache(maxsize=4096)
+def _attributes(text: str) -> dict[str, str]:
+    return {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)}
+
+
+def _plain_text(markup: str) -> str:
+    return unescape(_ANY_TAG.sub("", markup))
+
+
+class _Element(NamedTuple):
+    tag: str
+    attributes: dict[str, str]
+    start: int  # of the content
+    end: int
+    parents: tuple[int, ...]  # positions of the enclosing elements in the list
+
+    def has(self, cls: str) -> bool:
+        """A one-word class is one of the element's, a longer one is all of them."""
+        own = self.attributes.get("class", "")
+        return own == cls or (" " not in cls and cls in own.split())
+
+
+def _elements(html: str) -> list[_Element]:
+    """Elements of the page in document order, with what encloses them."""
+    found: list[list] = []
+    open_: list[int] = []
+    for token in _TOKEN.finditer(html):
+        closing, tag = token.group(1), token.group(2)
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if not closing:
+            found.append([tag, _attributes(token.group(3)), token.end(), len(html), tuple(open_)])
+            if not token.group(3).endswith("/"):
+                open_.append(len(found) - 1)
+            continue
+        for depth in range(len(open_) - 1, -1, -1):
+            if found[open_[depth]][0] == tag:
+                for i in open_[depth:]:
+                    found[i][3] = token.start()
+                del open_[depth:]
+                break
+    return [_Element(*e) for e in found]
+
+
+def _listings(html: str) -> list[tuple]:
+    """``position, title, date, spans, shipping`` of every item of a page but the first."""
+    elements = _elements(html)
+    places = [i for i, e in enumerate(elements) if e.tag == "div" and e.has(ITEM_CLASS)]
+    number = {place: n for n, place in enumerate(places)}
+    items = [{"title": None, "date": None, "spans": [], "shipping": None, "price": None} for _ in places]
+    for i, e in enumerate(elements):
+        inside = [number[p] for p in e.parents if p in number]
+        if not inside:
+            continue
+        item = items[inside[-1]]
+
+        def text() -> str:
+            return _plain_text(html[e.start : e.end])
+
+        if e.tag == "div" and e.has(TITLE_CLASS):
+            item["title"] = text() if item["title"] is None else item["title"]
+        elif e.tag == "span" and e.has(PRICE_BOX_CLASS):
+            item["price"] = i if item["price"] is None else item["price"]
+        elif e.tag == "span" and e.has(SHIPPING_CLASS):
+            item["shipping"] = text() if item["shipping"] is None else item["shipping"]
+        elif e.tag == "span" and item["price"] in e.parents and "class" in e.attributes:
+            item["spans"].append({"cls": e.attributes["class"], "text": text()})
+        elif e.tag == "span" and e.has(DATE_CLASS) and item["date"] is None:
+            if any(elements[p].has(DATE_BOX_CLASS) for p in e.parents):
+                item["date"] = text()
+    return [(n, x["title"], x["date"], x["spans"], x["shipping"]) for n, x in enumerate(items) if n]
 
 
 def listing_items(pages: DataFrame) -> DataFrame:
@@ -105,15 +118,7 @@ def listing_items(pages: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for page_id, html in zip(batch["page_id"], batch["html"]):
-                parser = _ListingParser()
-                parser.feed(html or "")
-                parser.close()
-                for position, item in enumerate(parser.items):
-                    if position:
-                        spans = [{"cls": c, "text": t} for c, t in item["spans"]]
-                        rows.append((page_id, position, item["title"], item["date"], spans, item["shipping"]))
+            rows = [(page, *item) for page, html in zip(batch["page_id"], batch["html"]) for item in _listings(html or "")]
             yield pd.DataFrame(rows, columns=["page_id", "position", "title", "date_text", "spans", "shipping_text"])
 
     return pages.select("page_id", "html").mapInPandas(parse, LISTING_SCHEMA)
@@ -156,52 +161,17 @@ def result_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-class _RegionParser(HTMLParser):
-    """Texts and attributes of wanted elements inside the first matching container."""
-
-    def __init__(self, container: tuple[str, str, str], wanted: list[tuple[str, str | None, str | None]]) -> None:
-        super().__init__(convert_charrefs=True)
-        self.container, self.wanted = container, wanted
-        self.found: list[list[dict]] = [[] for _ in wanted]
-        self._depth = 0
-        self._closed = False
-        self._listening: list[tuple[str, dict]] = []
-
-    @staticmethod
-    def _matches(tag: str, attrs: dict, want: tuple[str, str | None, str | None]) -> bool:
-        name, attr, value = want
-        return tag == name and (attr is None or value in (attrs.get(attr) or "").split())
-
-    def handle_starttag(self, tag, attr_pairs):
-        attrs = dict(attr_pairs)
-        if self._depth == 0:
-            if not self._closed and self._matches(tag, attrs, self.container):
-                self._depth = 1
-            return
-        if tag == self.container[0]:
-            self._depth += 1
-        for hits, want in zip(self.found, self.wanted):
-            if self._matches(tag, attrs, want):
-                hits.append({"attrs": attrs, "text": ""})
-                self._listening.append((tag, hits[-1]))
-
-    def handle_data(self, data):
-        for _, hit in self._listening:
-            hit["text"] += data
-
-    def handle_endtag(self, tag):
-        if self._depth and tag == self.container[0]:
-            self._depth -= 1
-            if self._depth == 0:
-                self._closed, self._listening = True, []
-        self._listening = [x for x in self._listening if x[0] != tag]
-
-
-def _in_region(html: str | None, container: tuple[str, str, str], wanted: list[tuple[str, str | None, str | None]]):
-    parser = _RegionParser(container, wanted)
-    parser.feed(html or "")
-    parser.close()
-    return parser.found
+def _in_region(html: str, container: tuple[str, str, str], wanted: list[tuple[str, str | None, str | None]], read) -> list[list]:
+    """What ``read`` takes from the wanted elements inside the first matching container."""
+
+    def matches(e: _Element, want: tuple[str, str | None, str | None]) -> bool:
+        tag, attribute, value = want
+        return e.tag == tag and (attribute is None or value in e.attributes.get(attribute, "").split())
+
+    elements = _elements(html)
+    region = next((i for i, e in enumerate(elements) if matches(e, container)), None)
+    inside = [e for e in elements if region is not None and region in e.parents]
+    return [[read(e, html) for e in inside if matches(e, want)] for want in wanted]
 
 
 def _page_lists(pages: DataFrame, container, wanted, read, schema: str) -> DataFrame:
@@ -212,7 +182,7 @@ def _page_lists(pages: DataFrame, container, wanted, read, schema: str) -> DataF
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lists = [read(_in_region(html, container, wanted)) for html in batch["html"]]
+            lists = [_in_region(html or "", container, wanted, read) for html in batch["html"]]
             out = batch[keys].reset_index(drop=True)
             for i, field in enumerate(fields):
                 out[field] = [row[i] for row in lists]
@@ -228,7 +198,7 @@ def deck_links(pages: DataFrame, mark: str = DECK_MARK) -> DataFrame:
         pages.select("page_id", "html"),
         ("table", "class", "table-tournament"),
         [("a", None, None)],
-        lambda found: [[a["attrs"].get("href") for a in found[0]]],
+        lambda e, html: e.attributes.get("href"),
         "hrefs array<string>",
     )
     links = lists.select("page_id", F.posexplode("hrefs").alias("position", "href"))
@@ -246,7 +216,7 @@ def deck_cards(pages: DataFrame) -> DataFrame:
         pages,
         ("div", "id", "tab-paper"),
         [("a", "rel", "popover"), ("td", "class", "text-right")],
-        lambda found: [[x["text"] for x in hits] for hits in found],
+        lambda e, html: _plain_text(html[e.start : e.end]),
         "names array<string>, counts array<string>",
     )
     whole = F.filter(F.transform("counts", lambda c: F.trim(c).try_cast("int")), lambda c: c.isNotNull())

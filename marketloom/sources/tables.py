@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.session import tune
+from marketloom.session import stored, tune
 from marketloom.sources.views import STORED, VIEWS, references
 
 DECKS = ("pioneer", "modern", "standard")
@@ -65,5 +67,15 @@ class Market:
         frames = {n: given.get(n) if n in given else self[n] for n in references(template)}
         return self.spark.sql(template, **frames)
 
+    def once(self, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A small result that several parts of a job look up, written once.
+
+        Read back from files its true size is known, so Spark can broadcast it
+        where it is small and need not shuffle the large side to find out.
+        """
+        if label not in self._tables:
+            self._tables[label] = stored(make(), label)
+        return self._tables[label]
+
     def decks(self, game_format: str) -> DataFrame:
         return self[f"{game_format}_decks"]

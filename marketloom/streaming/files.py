@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ def read_batches(spark: SparkSession, out: str, schema: StructType, before: int
 
     A replayed batch must not see its own first attempt.
     """
-    full = StructType(schema.fields).add("batch", "bigint")
+    full = StructType(schema.fields).add("batch", LongType())
     try:
         df = spark.read.schema(full).parquet(out)
     except AnalysisException as e:
