@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars
+from marketloom.functions.binding import bind
 
 # The words results depend on, in order of precedence.
 QUANTITY_PATTERNS = ("({n})", "×{n}", "{n}×", "{n} ×", "× {n}", "x{n}", "{n}x", "x {n}", "{n} x", "*{n}*")
@@ -53,11 +54,15 @@ def _first_hit(text: Column, name: Column | None, words: list[tuple[Column, str]
         return F.coalesce(*hits)
     table = F.array(*[F.struct(v.alias("value"), F.lit(w.lower()).alias("word")) for v, w in words])
 
-    def keep(item: Column) -> Column:
-        found = F.contains(text, item["word"])
-        return found if name is None else found & ~F.contains(name, item["word"])
-
-    return F.get(F.filter(table, keep), F.lit(0))["value"]
+    if name is None:
+        return bind(lambda t: F.get(F.filter(table, lambda w: F.contains(t, w["word"])), F.lit(0))["value"], t=text)
+    return bind(
+        lambda t, n: F.get(
+            F.filter(table, lambda w: F.contains(t, w["word"]) & ~F.contains(n, w["word"])), F.lit(0)
+        )["value"],
+        t=text,
+        n=name,
+    )
 
 
 def is_word_outside_name(text: Column, name: Column, word: str, strict: bool = False) -> Column:
@@ -97,33 +102,27 @@ def graded(text: Column, name: Column, strict: bool = False) -> Column:
     return F.when(F.array_contains(F.array(*hits), True), F.lit(True))
 
 
-def set_code(text: Column, name: Column, candidates: Column) -> Column:
-    """The set a title names, out of ``array<struct<code,setname,alias>>``.
+def set_code(text: Column, name: Column, by_alias: Column, by_code: Column, by_name: Column) -> Column:
+    """The set a title names.
 
-    An alias beats a code, a code beats a set name; then the longest matched
-    text, then code order. A code that is part of the card name does not count.
+    Each list is ``array<struct<word,code>>`` in order of preference, words in
+    lower case. An alias beats a code, a code beats a set name; a code that is
+    part of the card name does not count.
     """
 
-    def found(part: Column, kind: int) -> Column:
-        low = F.lower(part)
-        ok = F.contains(text, low)
-        if kind == 1:
-            ok = ok & ~F.contains(name, low)
-        return F.when(ok, F.struct(F.lit(kind).alias("kind"), (-F.length(part)).alias("rank")))
-
-    best = F.array_min(
-        F.filter(
-            F.transform(
-                candidates,
-                lambda s: F.struct(
-                    F.coalesce(found(s["alias"], 0), found(s["code"], 1), found(s["setname"], 2)).alias("hit"),
-                    s["code"].alias("code"),
-                ),
-            ),
-            lambda x: x["hit"].isNotNull(),
-        )
+
+    def first(words: Column, keep) -> Column:
+        return F.get(F.filter(words, keep), F.lit(0))["code"]
+
+    return bind(
+        lambda t, n: F.coalesce(
+            first(by_alias, lambda s: F.contains(t, s["word"])),
+            first(by_code, lambda s: F.contains(t, s["word"]) & ~F.contains(n, s["word"])),
+            first(by_name, lambda s: F.contains(t, s["word"])),
+        ),
+        t=text,
+        n=name,
     )
-    return best["code"]
 
 
 def sale_type(spans: Column) -> Column:

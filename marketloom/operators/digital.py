@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.operators.names import only_names
+from marketloom.session import stored
 
 RARITIES = ("Rare", "Mythic")
 
@@ -29,7 +30,7 @@ def canonical_price(prices: DataFrame, defs: DataFrame, universe: DataFrame) ->
     first = (
         wanted.join(priced, "card_id", "left_semi").groupBy("cardname").agg(F.min("card_id").alias("card_id"))
     )
-    versions = wanted.join(first, ["cardname", "card_id"])
+    versions = stored(wanted.join(first, ["cardname", "card_id"]), "versions")
     return prices.join(versions, "card_id").select("id", "card_id", "date", "price", "cardname", "cardset")
 
 

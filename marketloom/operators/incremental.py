@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.session import stored as written
+
 NEW_CARD_DAYS = 100
 KNOWN_CARD_SLACK = 10
 
@@ -20,7 +22,7 @@ def with_bounds(rows: DataFrame, stored: DataFrame, as_of: str, key: str = "card
     100 days back.
     """
     today = F.lit(as_of).cast("date")
-    known = rows.join(high_water(stored, key, day), key, "left")
+    known = rows.join(written(high_water(stored, key, day), "high-water"), key, "left")
     return known.withColumns(
         {
             "_lo": F.coalesce(F.date_add("_max", 1), F.date_sub(today, NEW_CARD_DAYS)),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.operators.ranks import global_rank, last_rows
+from marketloom.session import stored
 
 PAGE_SIZE = 20
 TRAILING_DAYS = 7
@@ -16,7 +17,7 @@ def trailing(prices: DataFrame, as_of: str | None, days: int) -> DataFrame:
     """Rows younger than ``days``, counted from ``as_of`` or from each card's last row."""
     if as_of is not None:
         return prices.filter(F.col("date") > F.date_sub(F.lit(as_of).cast("date"), days))
-    latest = prices.groupBy("cardname").agg(F.max("date").alias("_last"))
+    latest = stored(prices.groupBy("cardname").agg(F.max("date").alias("_last")), "latest")
     return prices.join(latest, "cardname").filter(F.col("date") > F.date_sub("_last", days)).drop("_last")
 
 

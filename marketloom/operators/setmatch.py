@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars, tagger
+from marketloom.session import stored
 
 
 def printings(cards: DataFrame, name: str = "name") -> DataFrame:
@@ -14,25 +15,38 @@ def printings(cards: DataFrame, name: str = "name") -> DataFrame:
 
 
 def candidates(cards: DataFrame, sets: DataFrame, name: str = "name") -> DataFrame:
-    """One row per card with its sets as an array: at most one entry per set."""
+    """One row per card with the words its sets are known by, at most one per set and list.
+
+    Longer words come first, then code order; words are stored in lower case, so
+    that a listing is matched without touching them.
+    """
     known = sets.select("code", F.col("name").alias("setname"), F.col("mcmname").alias("alias"))
+
+    def words(column: str) -> Column:
+        entry = F.struct(
+            (-F.length(column)).alias("rank"), F.col("code").alias("code"), F.lower(column).alias("word")
+        )
+        return F.array_sort(F.collect_set(F.when(F.col(column).isNotNull(), entry)))
+
     return (
         printings(cards, name)
         .join(known, "code", "left")
         .groupBy("name")
-        .agg(F.collect_set(F.struct("code", "setname", "alias")).alias("candidates"))
+        .agg(words("alias").alias("by_alias"), words("code").alias("by_code"), words("setname").alias("by_name"))
         .withColumnRenamed("name", "cardname")
     )
 
 
 def with_set(listings: DataFrame, per_card: DataFrame) -> DataFrame:
-    """Add ``cardset``. The sets of a card arrive as one array, so a listing
+    """Add ``cardset``. The sets of a card arrive as short arrays, so a listing
     stays one row and meets no pairs."""
-    code = tagger.set_code(F.lower("title"), F.lower("cardname"), F.col("candidates"))
-    return listings.join(per_card, "cardname", "left").withColumn("cardset", code).drop("candidates")
+    lists = ["by_alias", "by_code", "by_name"]
+    known = listings.join(stored(per_card, "card-sets"), "cardname", "left")
+    code = tagger.set_code(F.lower("title"), F.lower("cardname"), *[F.col(c) for c in lists])
+    return known.withColumn("cardset", code).drop(*lists)
 
 
 def with_rarity(listings: DataFrame, cards: DataFrame) -> DataFrame:
     rare = cards.filter(F.col("rarity") == "rare").select(F.col("name").alias("cardname")).distinct()
-    marked = listings.join(rare.withColumn("_rare", F.lit(True)), "cardname", "left")
+    marked = listings.join(stored(rare.withColumn("_rare", F.lit(True)), "rare"), "cardname", "left")
     return marked.withColumn("rarity", scalars.rarity_flag(F.col("_rare"))).drop("_rare")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,21 +29,21 @@ def _first(words: list[tuple[str, str]], guarded: bool, otherwise: str = "NULL")
     return f"CASE {cases} ELSE {otherwise} END"
 
 
-def _tag_query(name: str, column: str, expression: Column, sql: str) -> None:
+def _tag_query(name: str, column: str, expression: Callable[[Column, Column], Column], sql: str) -> None:
+    """``expression`` takes the lower-case title and card name."""
+
     def run(m):
         lowered = m["listings"].select("listing_id", "title", F.lower("title").alias("t"), F.lower("cardname").alias("n"))
-        return lowered.select("listing_id", "title", expression.alias(column))
+        return lowered.select("listing_id", "title", expression(F.col("t"), F.col("n")).alias(column))
 
     query(name, f"SELECT listing_id, title, {sql} AS {column} FROM {_TITLES}")(run)
 
 
-T, N = F.col("t"), F.col("n")
-
-_tag_query("tag_lot", "lotis", tagger.lot(T, N), " OR ".join(_has(w, True) for w in tagger.LOT_WORDS).join("()"))
+_tag_query("tag_lot", "lotis", tagger.lot, " OR ".join(_has(w, True) for w in tagger.LOT_WORDS).join("()"))
 _tag_query(
     "tag_quantity",
     "cardquantity",
-    tagger.quantity(T),
+    lambda t, n: tagger.quantity(t),
     _first(
         [(str(n), p.format(n=n)) for n in range(tagger.LARGEST_QUANTITY, 0, -1) for p in tagger.QUANTITY_PATTERNS],
         False,
@@ -49,29 +51,29 @@ _tag_query(
     ),
 )
 for _word in ("foil", "emblem", "token"):
-    _tag_query(f"tag_{_word}", f"is{_word}", tagger.is_word_outside_name(T, N, _word), _has(_word, True))
+    _tag_query(f"tag_{_word}", f"is{_word}", lambda t, n, w=_word: tagger.is_word_outside_name(t, n, w), _has(_word, True))
 _tag_query(
     "tag_box",
     "isboosterbox",
-    F.contains(T, F.lit("booster box")) | F.contains(T, F.lit("boosterbox")),
+    lambda t, n: F.contains(t, F.lit("booster box")) | F.contains(t, F.lit("boosterbox")),
     "(contains(t,'booster box') OR contains(t,'boosterbox'))",
 )
 _tag_query(
-    "tag_commander_deck", "iscommanderdeck", F.contains(T, F.lit("commander deck")), "contains(t,'commander deck')"
+    "tag_commander_deck", "iscommanderdeck", lambda t, n: F.contains(t, F.lit("commander deck")), "contains(t,'commander deck')"
 )
-_tag_query("tag_special", "cardspecial", tagger.special(T, N), _first([(_text(w), w) for w in tagger.SPECIAL_WORDS], True))
-_tag_query("tag_language", "cardlanguage", tagger.language(T), _first([(_text(w), w) for w in tagger.LANGUAGES], False))
-_tag_query("tag_condition", "cardcondition", tagger.condition(T), _first([(_text(w), w) for w in tagger.CONDITIONS], False))
+_tag_query("tag_special", "cardspecial", tagger.special, _first([(_text(w), w) for w in tagger.SPECIAL_WORDS], True))
+_tag_query("tag_language", "cardlanguage", lambda t, n: tagger.language(t), _first([(_text(w), w) for w in tagger.LANGUAGES], False))
+_tag_query("tag_condition", "cardcondition", lambda t, n: tagger.condition(t), _first([(_text(w), w) for w in tagger.CONDITIONS], False))
 _tag_query(
     "tag_graded",
     "isgraded",
-    tagger.graded(T, N, strict=False),
+    tagger.graded,
     "CASE WHEN " + " OR ".join(_has(w, True, "") for w in tagger.GRADE_WORDS) + " THEN TRUE END",
 )
 _tag_query(
     "tag_graded_strict",
     "isgraded",
-    tagger.graded(T, N, strict=True),
+    lambda t, n: tagger.graded(t, n, strict=True),
     "CASE WHEN "
     + " OR ".join(
         rf"(regexp_matches(t,'\b{w.strip().lower()}\b') AND NOT regexp_matches(n,'\b{w.strip().lower()}\b'))"

@@ -73,8 +73,11 @@ def work_path(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts lineage and survives the loss of executors; used where two branches
-    must see the very same rows.
+    Cuts lineage and survives the loss of executors. Used where two branches
+    must see the very same rows, and for lookup tables of one row per card: read
+    from files their true size is known, so Spark broadcasts them below its
+    threshold and joins by shuffle above it. Straight from an aggregation it
+    would have to guess, and shuffle the large side by card to find out.
     """
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)

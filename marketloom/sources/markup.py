@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
-from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,7 +31,7 @@ LISTING_SCHEMA = (
 
 # One scan of a page visits only these tags; comments and scripts are stepped over.
 _TOKEN = re.compile(
-    r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<(/?)(div|span|table|a|td)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<(/?)(div|span|table|a|td)\b([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>",
     re.I | re.S,
 )
 _ATTRIBUTE = re.compile(r"""([\w-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -45,15 +44,16 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _plain_text(markup: str) -> str:
-    return unescape(_ANY_TAG.sub("", markup))
+    return unescape(_ANY_TAG.sub("", markup) if "<" in markup else markup)
 
 
-class _Element(NamedTuple):
-    tag: str
-    attributes: dict[str, str]
-    start: int  # of the content
-    end: int
-    parents: tuple[int, ...]  # positions of the enclosing elements in the list
+class _Element:
+    """``start`` and ``end`` bound the content; ``parents`` are positions in the page's list."""
+
+    __slots__ = ("tag", "attributes", "start", "end", "parents")
+
+    def __init__(self, tag: str, attributes: dict[str, str], start: int, end: int, parents: tuple[int, ...]) -> None:
+        self.tag, self.attributes, self.start, self.end, self.parents = tag, attributes, start, end, parents
 
     def has(self, cls: str) -> bool:
         """A one-word class is one of the element's, a longer one is all of them."""
@@ -63,25 +63,25 @@ class _Element(NamedTuple):
 
 def _elements(html: str) -> list[_Element]:
     """Elements of the page in document order, with what encloses them."""
-    found: list[list] = []
-    open_: list[int] = []
+    found: list[_Element] = []
+    open_: tuple[int, ...] = ()
     for token in _TOKEN.finditer(html):
-        closing, tag = token.group(1), token.group(2)
+        closing, tag, attributes = token.groups()
         if tag is None:
             continue
         tag = tag.lower()
         if not closing:
-            found.append([tag, _attributes(token.group(3)), token.end(), len(html), tuple(open_)])
-            if not token.group(3).endswith("/"):
-                open_.append(len(found) - 1)
+            found.append(_Element(tag, _attributes(attributes), token.end(), len(html), open_))
+            if not attributes.endswith("/"):
+                open_ += (len(found) - 1,)
             continue
         for depth in range(len(open_) - 1, -1, -1):
-            if found[open_[depth]][0] == tag:
+            if found[open_[depth]].tag == tag:
                 for i in open_[depth:]:
-                    found[i][3] = token.start()
-                del open_[depth:]
+                    found[i].end = token.start()
+                open_ = open_[:depth]
                 break
-    return [_Element(*e) for e in found]
+    return found
 
 
 def _listings(html: str) -> list[tuple]:
@@ -91,10 +91,9 @@ def _listings(html: str) -> list[tuple]:
     number = {place: n for n, place in enumerate(places)}
     items = [{"title": None, "date": None, "spans": [], "shipping": None, "price": None} for _ in places]
     for i, e in enumerate(elements):
-        inside = [number[p] for p in e.parents if p in number]
-        if not inside:
+        item = next((items[number[p]] for p in reversed(e.parents) if p in number), None)
+        if item is None or e.tag not in ("div", "span"):
             continue
-        item = items[inside[-1]]
 
         def text() -> str:
             return _plain_text(html[e.start : e.end])
