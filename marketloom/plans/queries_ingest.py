@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marketloom.plans.registry import query
 from marketloom.sources import documents, files, markup
 from marketloom.sources.tables import Market, table_scan
+from marketloom.sources.views import VIEWS
 
 
 @query("src1_table_scan", "SELECT p_partkey, p_name FROM {part}")
@@ -28,7 +29,8 @@ def definition_docs(m: Market) -> DataFrame:
     entry = F.struct(
         F.col("cardname").alias("name"), F.col("foil").cast("int").alias("foil"), "rarity", "cardset"
     )
-    return m["card_defs"].select(
+    defs = m.derive(VIEWS["card_defs"], part=m.spread("part"))
+    return defs.select(
         F.col("card_id").cast("string").alias("doc"),
         F.to_json(F.create_map(F.col("card_id").cast("string"), entry)).alias("value"),
     )
@@ -36,7 +38,8 @@ def definition_docs(m: Market) -> DataFrame:
 
 def price_docs(m: Market) -> DataFrame:
     """One ``{id: price}`` document per price, named like the daily files."""
-    return m["card_prices"].select(
+    prices = m.derive(VIEWS["card_prices"], lineitem=m.spread("lineitem"))
+    return prices.select(
         F.concat(F.lit("price-history-"), F.date_format("date", "yyyy-MM-dd"), F.lit(".txt")).alias("file_name"),
         F.to_json(F.create_map(F.col("card_id").cast("string"), F.col("price"))).alias("value"),
     )
@@ -139,7 +142,8 @@ def listing_pages(m: Market) -> DataFrame:
     ]
     html = "concat('<html><body><ul>'," + ",".join(items) + ",'</ul></body></html>')"
     return m.derive(
-        f"SELECT l_orderkey*10+l_linenumber AS page_id, {html} AS html FROM {{lineitem}} JOIN {{part}} ON l_partkey=p_partkey"
+        f"SELECT l_orderkey*10+l_linenumber AS page_id, {html} AS html FROM {{lineitem}} JOIN {{part}} ON l_partkey=p_partkey",
+        lineitem=m.spread("lineitem"),
     )
 
 
@@ -192,7 +196,8 @@ def src7(m):
         """SELECT o_orderkey AS page_id, concat('<a href="/deck/outside">no</a><table class="table-tournament wide"><tr><td>',
              '<a href="/deck/',CAST(o_custkey AS STRING),'">first</a><a href="/player/1">p</a>',
              CASE WHEN o_orderstatus='F' THEN concat('<a href="/Deck/',CAST(o_orderkey AS STRING),'">second</a>') ELSE '' END,
-             '</td></tr></table><table><tr><td><a href="/deck/after">no</a></td></tr></table>') AS html FROM {orders}"""
+             '</td></tr></table><table><tr><td><a href="/deck/after">no</a></td></tr></table>') AS html FROM {orders}""",
+        orders=m.spread("orders"),
     )
     return markup.deck_links(pages)
 
@@ -218,6 +223,7 @@ def src8(m):
         "SELECT l_orderkey, l_linenumber, concat('<div id=\"tab-online\"><a rel=\"popover\">no</a></div><div id=\"tab-paper\"><div><table><tr>',"
         + ",".join(parts)
         + ",'</tr></table></div></div><div id=\"tab-arena\"><td class=\"text-right\">7</td></div>') AS html "
-        "FROM {lineitem} JOIN {part} ON l_partkey=p_partkey"
+        "FROM {lineitem} JOIN {part} ON l_partkey=p_partkey",
+        lineitem=m.spread("lineitem"),
     )
     return markup.deck_cards(pages)

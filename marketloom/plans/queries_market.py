@@ -283,7 +283,7 @@ _SET_HITS = """
           ON b.listing_id=l.listing_id AND b.title=l.title AND b.cardname=l.cardname""",
 )
 def j14(m):
-    return setmatch.with_set(m["listings"], _sets_per_card(m)).select("listing_id", "title", "cardset")
+    return setmatch.with_set(m.listings, _sets_per_card(m)).select("listing_id", "title", "cardset")
 
 
 def _sets_per_card(m: Market) -> DataFrame:

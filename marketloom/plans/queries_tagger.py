@@ -33,7 +33,7 @@ def _tag_query(name: str, column: str, expression: Callable[[Column, Column], Co
     """``expression`` takes the lower-case title and card name."""
 
     def run(m):
-        lowered = m["listings"].select("listing_id", "title", F.lower("title").alias("t"), F.lower("cardname").alias("n"))
+        lowered = m.listings.select("listing_id", "title", F.lower("title").alias("t"), F.lower("cardname").alias("n"))
         return lowered.select("listing_id", "title", expression(F.col("t"), F.col("n")).alias(column))
 
     query(name, f"SELECT listing_id, title, {sql} AS {column} FROM {_TITLES}")(run)
@@ -89,7 +89,7 @@ _tag_query(
          THEN 'rare' ELSE 'mythic' END AS rarity FROM {listings} l""",
 )
 def tag_rarity(m):
-    return setmatch.with_rarity(m["listings"], m["cards"]).select("listing_id", "title", "rarity")
+    return setmatch.with_rarity(m.listings, m["cards"]).select("listing_id", "title", "rarity")
 
 
 @query(
@@ -102,7 +102,7 @@ def tag_rarity(m):
         FROM (SELECT cardname, lower(title) AS t, lower(cardname) AS n FROM {{listings}}) x WHERE contains(t,n) GROUP BY cardname""",
 )
 def tag_all(m):
-    tagged = tagger.tag(setmatch.with_set(m["listings"], _sets_per_card(m)))
+    tagged = tagger.tag(setmatch.with_set(m.listings, _sets_per_card(m)))
     return tagged.groupBy("cardname").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("isfoil").alias("n_foil"),

@@ -67,6 +67,20 @@ class Market:
         frames = {n: given.get(n) if n in given else self[n] for n in references(template)}
         return self.spark.sql(template, **frames)
 
+    def spread(self, name: str) -> DataFrame:
+        """A stored table for heavy work per row: one partition per core at least.
+
+        A file with fewer row groups than cores would leave cores idle; a large
+        table has more of them and is read as it is.
+        """
+        df, cores = self[name], self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+    @property
+    def listings(self) -> DataFrame:
+        """Listing titles, for matching words against each of them."""
+        return self.derive(VIEWS["listings"], lineitem=self.spread("lineitem"))
+
     def once(self, label: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A small result that several parts of a job look up, written once.
 

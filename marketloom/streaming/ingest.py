@@ -23,7 +23,7 @@ def ingest_sales(
     as_of: str,
     derive: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> None:
-    """Tag new listings and append those in their card's wanted days.
+    """Pick the new listings in their card's wanted days, tag and append them.
 
     The high-water mark is one per card, which a stream's single watermark
     cannot express, so each batch looks it up in what earlier batches stored.
@@ -31,9 +31,9 @@ def ingest_sales(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        tagged = tagger.tag(derive(batch))
-        stored = read_batches(batch.sparkSession, out, tagged.schema, before=batch_id)
-        write_batch(in_range(tagged, stored, as_of), out, batch_id)
+        rows = derive(batch)
+        stored = read_batches(batch.sparkSession, out, rows.select("cardname", "carddate").schema, before=batch_id)
+        write_batch(tagger.tag(in_range(rows, stored, as_of)), out, batch_id)
 
     run_batches(listings, handle, checkpoint)
 
