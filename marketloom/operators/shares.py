@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.operators.names import only_names
@@ -17,21 +18,19 @@ def play_share(decks: DataFrame, universe: DataFrame) -> DataFrame:
     """``entrydate, cardname, ratio`` of the cards in ``universe``.
 
     Equal rows of one event count once above the line and every time below it.
-    Equal rows are first folded to one with its multiplicity: numerator and
-    denominator both come from that one shuffle, and the join on the day sees
-    one row per card and day.
+    They are first folded to one row with its multiplicity, so that numerator and
+    denominator come from a single pass over the decks. The day's total is a
+    window over one row per card and day.
     """
-    folded = decks.groupBy("cardname", "entrydate", "cardquant", "tourntitle").agg(F.count(F.lit(1)).alias("_times"))
+    dated = decks.filter(F.col("entrydate").isNotNull())
+    folded = dated.groupBy("cardname", "entrydate", "cardquant", "tourntitle").agg(F.count(F.lit(1)).alias("_times"))
     per_card = folded.groupBy("cardname", "entrydate").agg(
         F.sum("cardquant").alias("_once"),
         F.sum(F.col("cardquant") * F.col("_times")).alias("_all"),
     )
-    totals = per_card.groupBy("entrydate").agg(F.sum("_all").alias("_total"))
-    return (
-        only_names(per_card, universe)
-        .join(totals, "entrydate")
-        .select("entrydate", "cardname", F.try_divide("_once", "_total").alias("ratio"))
-    )
+    total = F.sum("_all").over(W.partitionBy("entrydate"))
+    shares = per_card.select("entrydate", "cardname", F.try_divide("_once", total).alias("ratio"))
+    return only_names(shares, universe).select("entrydate", "cardname", "ratio")
 
 
 def event_counts(entries: DataFrame) -> DataFrame:

@@ -16,9 +16,6 @@ DEFAULTS = {
     # Split a skewed join side even where that costs one more shuffle above it:
     # one card may hold a third of all sales.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A group of daily medians rarely has more than a few sales; aggregate by
-    # hash for far more keys than the default 128 before falling back to a sort.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
 

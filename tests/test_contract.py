@@ -80,6 +80,12 @@ def test_scan_is_pruned_and_filtered(spark, sf_dir):
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string>" in plan
 
 
+def test_play_share_reads_decks_once(spark, sf_dir):
+    plan = _plan(QUERIES["a5_play_share_modern"](spark, sf_dir))
+    # One scan of the decks, one of their cards, one of the card list.
+    assert plan.split("== Initial Plan ==")[0].count("FileScan") == 3
+
+
 def test_flagship_paths_share_one_shuffle(spark, sf_dir):
     df = QUERIES["a3_daily_sale_price"](spark, sf_dir)
     df.collect()
