@@ -25,7 +25,8 @@ def _back(m: Market, path: str) -> DataFrame:
 @query("snk1_full_refresh", "SELECT cardname, carddate, avge, med FROM {sale}")
 def snk1(m):
     path = work_path(m.spark, "refresh")
-    sinks.full_refresh(sale(m).limit(0), path)
+    # What the table held before is gone afterwards.
+    sinks.full_refresh(universe(m), path)
     sinks.full_refresh(sale(m), path)
     return _back(m, path)
 
