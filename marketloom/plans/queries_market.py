@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import predicates as P
 from marketloom.functions import scalars
 from marketloom.operators import digital, incremental, members, names, sales, setmatch, shares
-from marketloom.plans.registry import query
+from marketloom.plans.registry import query, shown
 from marketloom.plans.twins import UNIT
 from marketloom.sources.tables import Market
 
@@ -372,7 +372,8 @@ def a9(m):
 
 @query("a12_robust_price", "SELECT cardname, date, target FROM {target}")
 def a12(m):
-    return sale(m).select("cardname", F.col("carddate").alias("date"), scalars.robust_price(F.col("avge"), F.col("med")).alias("target"))
+    target = scalars.robust_price(F.col("avge"), F.col("med"))
+    return shown(sale(m).select("cardname", F.col("carddate").alias("date"), target.alias("target")), "target")
 
 
 query("q5_canonical", "SELECT id, card_id, date, price, cardname, cardset FROM {canonical}")(canonical)

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from marketloom.plans import features, forecast
 from marketloom.plans.queries_market import model_names
 from marketloom.plans.queries_series import WINDOW, frame
-from marketloom.plans.registry import query
+from marketloom.plans.registry import query, shown
 from marketloom.session import stored
 from marketloom.sources import documents
 from marketloom.sources.tables import Market
 
-query("m1_feature_frame", "SELECT cardname, date, target, price0, modratio, pioratio, standratio FROM {frame}")(frame)
+query("m1_feature_frame", "SELECT cardname, date, target, price0, modratio, pioratio, standratio FROM {frame}")(
+    lambda m: shown(frame(m), "target")
+)
 
 
 def instances(m: Market, test: bool = False) -> DataFrame:
@@ -43,12 +45,12 @@ def _twin(end: str) -> str:
 
 @query("m2_training_set", _twin("2001-10-24"))
 def m2(m):
-    return _rows(instances(m))
+    return shown(_rows(instances(m)), "target")
 
 
 @query("m6_test_set", _twin("2001-10-31"))
 def m6_set(m):
-    return _rows(instances(m, test=True))
+    return shown(_rows(instances(m, test=True)), "target")
 
 
 @query(
@@ -94,7 +96,8 @@ def m5(m):
     body = F.from_json(text, "instances array<struct<start:string,target:array<string>,cat:array<int>>>")
     sent = series.select(body["instances"][0].alias("i"))
     rows = sent.select(F.col("i.cat")[0].alias("category"), F.posexplode("i.target").alias("pos", "v"))
-    return rows.select("category", "pos", F.when(F.col("v") != "NaN", F.col("v").cast("double")).alias("target"))
+    sent_value = F.when(F.col("v") != "NaN", F.col("v").cast("double"))
+    return shown(rows.select("category", "pos", sent_value.alias("target")), "target")
 
 
 def _forecast(m: Market) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import scalars
 from marketloom.operators.names import only_names
-from marketloom.plans.registry import query
+from marketloom.plans.registry import query, shown
+from marketloom.plans.twins import DIGITS
 
 IMAGES = "https://images.example.com/"
 
@@ -72,13 +73,15 @@ def x7(m):
 
 @query(
     "x8_log_exp",
-    """SELECT id, card_id, CASE WHEN price>0 THEN ln(price) END AS log_price, CASE WHEN price>0 THEN exp(ln(price)) END AS back
-       FROM {card_prices}""",
+    f"""SELECT id, card_id, CASE WHEN price>0 THEN round(ln(price),{DIGITS}) END AS log_price,
+          CASE WHEN price>0 THEN abs(exp(ln(price))-price) < 1e-9 END AS returns
+        FROM {{card_prices}}""",
 )
 def x8(m):
     price = F.col("price")
     log_price = F.when(price > 0, F.ln(price))
-    return m["card_prices"].select("id", "card_id", log_price.alias("log_price"), F.exp(log_price).alias("back"))
+    returns = F.abs(F.exp(log_price) - price) < 1e-9
+    return shown(m["card_prices"].select("id", "card_id", log_price.alias("log_price"), returns.alias("returns")), "log_price")
 
 
 @query("x9_least", "SELECT cardname, carddate, least(price,shipping) AS low FROM {transactions}")

@@ -9,7 +9,8 @@ from marketloom.operators import digital, momentum, ranks
 from marketloom.operators import series as S
 from marketloom.plans import features, history
 from marketloom.plans.queries_market import canonical, model_names, sale, share, universe
-from marketloom.plans.registry import query
+from marketloom.plans.registry import query, shown
+from marketloom.plans.twins import DIGITS
 from marketloom.sources.tables import Market
 
 WINDOW = features.Window(start="1995-02-01", end="2001-10-31", calendar_start="1995-01-01")
@@ -44,7 +45,7 @@ def slopes(m: Market) -> DataFrame:
 
 @query("j9_full_outer_align", "SELECT cardname, date, target, price0, modratio, pioratio, standratio FROM {aligned} WHERE cardname IN (SELECT cardname FROM {model_names})")
 def j9(m):
-    return features.aligned(inputs(m))
+    return shown(features.aligned(inputs(m)), "target")
 
 
 @query(
@@ -232,17 +233,19 @@ def a11(m):
 # --- slopes and leaderboards ---------------------------------------------------------
 
 
-query("a10_ols_slope", "SELECT cardname, slope FROM {slopes}")(slopes)
+_SLOPES = f"SELECT cardname, round(slope,{DIGITS}) AS slope FROM {{slopes}}"
+
+query("a10_ols_slope", _SLOPES)(lambda m: shown(slopes(m), "slope"))
 
 
 @query(
     "q6_momentum_trailing",
-    """SELECT cardname, CASE WHEN COUNT(DISTINCT date)>1
-         THEN regr_slope(price, CAST(date_diff('day', DATE '1970-01-01', date) AS DOUBLE)) ELSE 0.0 END AS slope
-       FROM {latest_rows} WHERE date > DATE '2001-11-01' - 120 GROUP BY cardname""",
+    f"""SELECT cardname, CASE WHEN COUNT(DISTINCT date)>1
+         THEN round(regr_slope(price, CAST(date_diff('day', DATE '1970-01-01', date) AS DOUBLE)),{DIGITS}) ELSE 0.0 END AS slope
+       FROM {{latest_rows}} WHERE date > DATE '2001-11-01' - 120 GROUP BY cardname""",
 )
 def q6(m):
-    return momentum.momentum(canonical(m), as_of=LAST_DAY, days=120)
+    return shown(momentum.momentum(canonical(m), as_of=LAST_DAY, days=120), "slope")
 
 
 @query("t1_order_by", "SELECT cardname FROM {universe} ORDER BY cardname")
@@ -250,30 +253,30 @@ def t1(m):
     return universe(m).orderBy("cardname")
 
 
-@query("t3_winners_page", "SELECT cardname, slope FROM {slopes} ORDER BY slope DESC, cardname LIMIT 20 OFFSET 20")
+@query("t3_winners_page", f"{_SLOPES} ORDER BY {{slopes}}.slope DESC, cardname LIMIT 20 OFFSET 20")
 def t3(m):
-    return momentum.winners_page(slopes(m), 1)
+    return shown(momentum.winners_page(slopes(m), 1), "slope")
 
 
-@query("t4_losers_page", "SELECT cardname, slope FROM {slopes} ORDER BY slope, cardname LIMIT 20")
+@query("t4_losers_page", f"{_SLOPES} ORDER BY {{slopes}}.slope, cardname LIMIT 20")
 def t4(m):
-    return momentum.losers_page(slopes(m), 0)
+    return shown(momentum.losers_page(slopes(m), 0), "slope")
 
 
-@query("t4_losers_page_compat", "SELECT cardname, slope FROM {slopes} ORDER BY slope, cardname LIMIT 20 OFFSET 1")
+@query("t4_losers_page_compat", f"{_SLOPES} ORDER BY {{slopes}}.slope, cardname LIMIT 20 OFFSET 1")
 def t4_compat(m):
-    return momentum.losers_page(slopes(m), 1, compat=True)
+    return shown(momentum.losers_page(slopes(m), 1, compat=True), "slope")
 
 
-@query("t5_sort_slopes", "SELECT cardname, slope FROM {slopes}")
+@query("t5_sort_slopes", _SLOPES)
 def t5(m):
-    return slopes(m).orderBy("slope", "cardname")
+    return shown(slopes(m).orderBy("slope", "cardname"), "slope")
 
 
 # --- price history -------------------------------------------------------------------
 
 
-@query("q9_history_sale", "SELECT cardname, date, exp(target) AS value FROM {target} WHERE target IS NOT NULL")
+@query("q9_history_sale", "SELECT cardname, carddate AS date, exp(ln(least(avge,med))) AS value FROM {sale} WHERE least(avge,med)>0")
 def q9(m):
     return history.sale_history(sale(m))
 

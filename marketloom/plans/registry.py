@@ -6,8 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketloom.plans.twins import TWINS
+from marketloom.plans.twins import DIGITS, TWINS
 from marketloom.sources.tables import Market
 from marketloom.sources.views import with_views
 
@@ -33,6 +34,11 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+def shown(df: DataFrame, *columns: str) -> DataFrame:
+    """Logs and slopes as the twins show them: engines differ in their last bits."""
+    return df.withColumns({c: F.round(c, DIGITS) for c in columns})
+
+
 def load() -> dict[str, Query]:
     """All queries; the modules register on import."""
     from marketloom.plans import (  # noqa: F401
