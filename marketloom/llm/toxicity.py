@@ -155,6 +155,15 @@ def _unlike(rows: list[np.ndarray]) -> list[np.ndarray]:
     return list(kept.values())
 
 
+def _shift(z: np.ndarray, prior: float) -> float:
+    """What to add to the margins so that the unlabelled texts' mean score is the prior."""
+    low, high = -10.0, 10.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _sigmoid(z + mid).mean() < prior else (low, mid)
+    return low
+
+
 def _part(df: DataFrame, column: str, most: int) -> DataFrame:
     """About ``most`` rows at most, chosen by a hash of ``column``; all if there are fewer."""
     n = df.count()
@@ -187,10 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = np.sort(_telling(p, u))
     cut = lambda rows: [np.searchsorted(chosen, r[np.isin(r, chosen)]) for r in rows]
     # A sparse fit picks the features; a second fit of those alone sets their weights.
-    first, _ = fit_nnpu(cut(p), cut(u), len(chosen), prior, sparse=3e-4)
+    first, _ = fit_nnpu(cut(p), cut(u), len(chosen), prior, sparse=0.012 / len(p) ** 0.5)
     chosen = chosen[np.abs(first) > 0.05]
     w, b = fit_nnpu(cut(p), cut(u), len(chosen), prior, sparse=2e-6)
-    return {int(f): float(x) for f, x in zip(chosen, w)}, b
+    return {int(f): float(x) for f, x in zip(chosen, w)}, b + _shift(Bag(cut(u), len(chosen)).margins(w, b), prior)
 
 
 def _scorer(weights: dict[int, float], bias: float):
