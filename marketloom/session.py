@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,20 +46,23 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "marke
     return tune(spark)
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
+    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A temporary folder is used only in local mode, where driver and executors
-    are one process, and only when the session names none.
+    Only a local session that names none, where driver and executors are one
+    process, gets a temporary folder, one per application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="marketloom-")
+        folder = _LOCAL_FOLDERS[app]
     return folder.rstrip("/")
 
 
