@@ -8,9 +8,9 @@ there is probed for in the long lists by binary search.
 Lists are built per block of texts, and every pair that can link meets in a
 block: the hash range is cut into more segments than a linking pair may have
 differing shingles, so such a pair agrees on a whole segment. Texts that agree
-on a segment meet in the block of the smallest of them. Segments hold about ten
-shingles spread over the whole text, so texts that only share passages rarely
-meet. Blocks above a bounded number of shingles are cut into chunks, and each
+on a segment meet in the block of the smallest of them. Segments hold several
+shingles spread over the whole text, so texts that only share passages seldom
+meet; those with too many shingles of their own are set aside before blocks form. Blocks above a bounded number of shingles are cut into chunks, and each
 pair of chunks is a task; there is no cap, and no link is lost.
 """
 
@@ -47,7 +47,7 @@ class Bound:
 
     def differing(self, size: int) -> int:
         """Shingles in which linking sets of up to ``size`` may differ."""
-        return 2 * size - 2 * int(self.overlap(size, size))
+        return 2 * size * (self.den - self.num) // (self.num + self.den)
 
     def size_class(self, n: int) -> int:
         """Classes grow by den / num, so linking sets are in one class or in neighbours."""
@@ -77,7 +77,8 @@ def signatures(shingles: np.ndarray, bound: Bound) -> np.ndarray:
     keys = []
     for c in (own, own + 1):
         most = bound.differing(math.ceil(bound.class_start(c + 1)))
-        empty = int(2 * (most + 1) * math.exp(-bound.class_start(c) / (most + 1)))
+        few = (most + 1) * math.exp(-bound.class_start(c - 1) / (most + 1))  # empty ones to expect
+        empty = int(few + 3 * math.sqrt(few))
         segments = most + 1 + empty
         at = (high * U64(segments)) >> U64(32)  # rises with the hash: segments are runs
         starts = np.searchsorted(at, np.arange(segments, dtype=U64))
@@ -135,7 +136,7 @@ def _signed(words: int, bound: Bound):
 
 
 def _with_sets(words: int):
-    """(text, digest, ...) -> the shingles of the rows whose text has the digest."""
+    """(text, digest, sid) -> the shingles of the rows whose text has the digest."""
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(words)
@@ -147,15 +148,24 @@ def _with_sets(words: int):
                     rows.append(i)
                     cells.append(s.tobytes())
                     held += len(cells[-1])
-                if held > 16 << 20 or (rows and i == len(wanted) - 1):
+                if rows and (held > 16 << 20 or i == len(wanted) - 1):
                     some = batch.take(pa.array(rows, pa.int64()))
                     cols = [some.column(1), some.column(2), pa.array(cells, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["digest", "blocks", "cells"])
+                    yield pa.RecordBatch.from_arrays(cols, names=["digest", "sid", "cells"])
                     rows, cells, held = [], [], 0
 
     return with_sets
 
 
+def _part_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, cells) -> the shingles of one half of the hash range, a row each."""
+    for batch in batches:
+        for sid, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+            s = np.frombuffer(cell.as_py(), U64)
+            s = s[mix(s) & U64(1) == 0].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), sid))], names=["hash", "sid"])
+
+
 def linked(sets: list[np.ndarray], side: np.ndarray, bound: Bound) -> list[tuple[int, int]]:
     """Links among ``sets`` that connect what linking connects (a spanning forest).
 
@@ -235,15 +245,22 @@ def _links(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, chunk: in
     least, most = F.expr("min(sid) OVER (PARTITION BY key)"), F.expr("max(sid) OVER (PARTITION BY key)")
     met = keys.select("sid", least.alias("block"), most.alias("last")).filter("block < last")
     routes = stored(met.select("sid", "block").distinct(), "ngram-routes")
-    sized = routes.join(sets.select("sid", "n"), "sid")
-    parts = sized.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(chunk)).cast("int").alias("chunks"))
-    per_set = routes.join(parts, "block").groupBy("sid").agg(F.collect_list(F.struct("block", "chunks")).alias("blocks"))
-    wanted = sets.join(per_set, "sid").select(F.col("doc_id").alias("wanted"), "digest", "blocks")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "digest", "blocks")
-    blocks = "array<struct<block:bigint,chunks:int>>"
-    cells = texts.mapInArrow(_with_sets(words), f"digest binary, blocks {blocks}, cells binary")
-    # A set goes to its block; in a block of several chunks, to each pair of its own chunk with another.
-    routed = cells.select("digest", "cells", F.explode("blocks").alias("to"))
+    wanted = sets.join(routes.select("sid").distinct(), "sid").select(F.col("doc_id").alias("wanted"), "digest", "sid")
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "digest", "sid")
+    cells = stored(texts.mapInArrow(_with_sets(words), "digest binary, sid long, cells binary"), "ngram-cells")
+    # Lists of one: a set with more shingles that no other has than a linking set
+    # may lack links with nothing. Half of the shingles show most such sets.
+    half = cells.select("sid", "cells").mapInArrow(_part_of_sets, "hash long, sid long")
+    single = half.groupBy("hash").agg(F.count(F.lit(1)).alias("holders"), F.min("sid").alias("sid")).filter("holders = 1")
+    alone = single.groupBy("sid").agg(F.count(F.lit(1)).alias("alone")).join(sets.select("sid", "n"), "sid")
+    spare = F.floor(F.col("n") * (bound.den - bound.num) / F.lit(bound.den))
+    lone = alone.filter(F.col("alone") > spare).select("sid").distinct()
+    left = stored(routes.join(lone, "sid", "left_anti").join(sets.select("sid", "n"), "sid"), "ngram-left")
+    parts = left.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all"))
+    parts = parts.filter("sets > 1").select("block", F.ceil(F.col("all") / F.lit(chunk)).cast("int").alias("chunks"))
+    per_set = left.join(parts, "block").groupBy("sid").agg(F.collect_set(F.struct("block", "chunks")).alias("blocks"))
+    # A set goes to its blocks; in a block of several chunks, to each pair of its own chunk with another.
+    routed = cells.join(per_set, "sid").select("digest", "cells", F.explode("blocks").alias("to"))
     routed = routed.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("to.chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("to.chunks") - 1))
     placed = routed.select("digest", "cells", "chunk", F.col("to.block").alias("block"), other.alias("other"))
