@@ -33,6 +33,7 @@ from marketloom.session import stored
 
 CHUNK = 2_000_000  # shingles of one chunk of a block
 DIGESTS_SEEN = 200_000
+KEYS_A_ROW = 256  # about so many
 
 
 class Bound:
@@ -109,7 +110,12 @@ def _digests(words: int):
     return digests
 
 
-def _signed(words: int, bound: Bound):
+def _key_bits(rows: int) -> int:
+    """Bits of a key: few enough to travel well, enough that chance meetings are rare at any size."""
+    return min(64, 16 + max(1, rows * KEYS_A_ROW).bit_length())
+
+
+def _signed(words: int, bound: Bound, bits: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Shingler(words), set()
         for batch in batches:
@@ -123,7 +129,7 @@ def _signed(words: int, bound: Bound):
                 if len(seen) >= DIGESTS_SEEN:
                     seen.clear()
                 seen.add(found)
-                keys.append(signatures(s, bound).view(np.int64))
+                keys.append((signatures(s, bound) >> U64(64 - bits)).view(np.int64))
                 names.append(np.full(len(keys[-1]), _short_id(found)))
                 held += len(keys[-1])
                 if held > 500_000:
@@ -157,13 +163,21 @@ def _with_sets(words: int):
     return with_sets
 
 
-def _part_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, cells) -> the shingles of one half of the hash range, a row each."""
-    for batch in batches:
-        for sid, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-            s = np.frombuffer(cell.as_py(), U64)
-            s = s[mix(s) & U64(1) == 0].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), sid))], names=["hash", "sid"])
+def _part_of_sets(bits: int):
+    """(sid, cells) -> the shingles of one half of the hash range, a row each.
+
+    Shortened to ``bits``: two that meet by chance count as shared, which only
+    leaves a set in.
+    """
+
+    def part_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sid, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = np.frombuffer(cell.as_py(), U64)
+                s = (s[s & U64(1) == 0] >> U64(64 - bits)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), sid))], names=["hash", "sid"])
+
+    return part_of_sets
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, bound: Bound) -> list[tuple[int, int]]:
@@ -240,7 +254,8 @@ def _joined(bound: Bound):
 
 def _links(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, chunk: int) -> DataFrame:
     """Pairs of digests (a, b) that connect all linking sets. ``docs``: doc_id, text; ``sets``: digest, n, doc_id, sid."""
-    keys = docs.select("text").mapInArrow(_signed(words, bound), "key long, sid long")
+    bits = _key_bits(docs.count())
+    keys = docs.select("text").mapInArrow(_signed(words, bound, bits), "key long, sid long")
     # One shuffle of narrow rows; a key that one set has alone ends here.
     least, most = F.expr("min(sid) OVER (PARTITION BY key)"), F.expr("max(sid) OVER (PARTITION BY key)")
     met = keys.select("sid", least.alias("block"), most.alias("last")).filter("block < last")
@@ -250,7 +265,7 @@ def _links(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, chunk: in
     cells = stored(texts.mapInArrow(_with_sets(words), "digest binary, sid long, cells binary"), "ngram-cells")
     # Lists of one: a set with more shingles that no other has than a linking set
     # may lack links with nothing. Half of the shingles show most such sets.
-    half = cells.select("sid", "cells").mapInArrow(_part_of_sets, "hash long, sid long")
+    half = cells.select("sid", "cells").mapInArrow(_part_of_sets(bits), "hash long, sid long")
     single = half.groupBy("hash").agg(F.count(F.lit(1)).alias("holders"), F.min("sid").alias("sid")).filter("holders = 1")
     alone = single.groupBy("sid").agg(F.count(F.lit(1)).alias("alone")).join(sets.select("sid", "n"), "sid")
     spare = F.floor(F.col("n") * (bound.den - bound.num) / F.lit(bound.den))
@@ -324,15 +339,16 @@ def keep_first(
     rows, groups = _grouped(docs, id_col, text_col, words, num, den, chunk)
     mine = (F.col("n") == 0) | ((F.col("digest") == F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     stays = rows.join(groups, "digest", "left").withColumn("stays", mine)
-    by_id = stays.groupBy(F.col("doc_id").alias("its")).agg(
-        F.count(F.lit(1)).alias("same"), F.collect_set(F.when(F.col("stays"), F.col("digest"))).alias("keep")
-    )
-    by_id = stored(by_id.filter(F.size("keep") > 0), "ngram-stays")
+    digests = F.collect_set(F.when(F.col("stays"), F.col("digest")))
+    by_id = stays.groupBy(F.col("doc_id").alias("its")).agg(F.count(F.lit(1)).alias("same"), digests.alias("keep"))
+    by_id = stored(by_id, "ngram-stays")
     all_ = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), text_of(text_col).alias("text"))
-    found = all_.join(by_id, F.col("i").eqNullSafe(F.col("its")))
-    alone = found.filter("same = 1").select("row")
+    mine = F.col("i").eqNullSafe(F.col("its"))
+    # What goes is the smaller part: where it is small, texts need no shuffle.
+    goes = by_id.filter((F.col("same") > 1) | (F.size("keep") == 0)).select("its")
+    alone = all_.join(goes, mine, "left_anti").select("row")
     # Several rows of one identifier: only those whose text is the one kept, once each.
-    several = found.filter("same > 1").select("row", "i", "text", "keep")
+    several = all_.join(by_id.filter((F.col("same") > 1) & (F.size("keep") > 0)), mine).select("row", "i", "text", "keep")
     checked = several.mapInArrow(_checked(words), T.StructType([*several.schema.fields[:2], T.StructField("digest", T.BinaryType())]))
     first = F.expr("row_number() OVER (PARTITION BY i, digest ORDER BY row)")
     once = checked.withColumn("place", first).filter("place = 1").select("row")
