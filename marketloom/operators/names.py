@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,9 +25,15 @@ def only_names(df: DataFrame, names: DataFrame, name: str = "cardname") -> DataF
     return df.join(names, name, "left_semi")
 
 
-def rarity_of(names: DataFrame, cards: DataFrame) -> DataFrame:
-    """``name, rarity``: ``rare`` if the catalogue has that printing, else ``mythic``."""
-    rare = cards.filter(F.col("rarity") == "rare").select("name").distinct().withColumn("_rare", F.lit(True))
+def rare_in(cards: DataFrame, codes: DataFrame) -> DataFrame:
+    """Names with a rare printing in one of the sets ``codes``."""
+    wanted = codes.select(F.col("code").alias("setcode"))
+    return cards.filter(F.col("rarity") == "rare").join(wanted, "setcode", "left_semi").select("name").distinct()
+
+
+def rarity_of(names: DataFrame, cards: DataFrame, codes: DataFrame) -> DataFrame:
+    """``name, rarity``: ``rare`` if one of the sets ``codes`` has that printing, else ``mythic``."""
+    rare = rare_in(cards, codes).withColumn("_rare", F.lit(True))
     return names.join(rare, "name", "left").select(
         "name", F.when(F.col("_rare"), "rare").otherwise("mythic").alias("rarity")
     )
@@ -63,7 +68,3 @@ def target_names(
     faces = eligible.filter(two_faced).select(F.col("facename").alias("name"))
     played = names_in_all(*formats).withColumnRenamed("cardname", "name")
     return single.unionAll(faces).distinct().join(played, "name")
-
-
-def since(day: dt.date, column: str = "releasedate") -> Column:
-    return F.col(column) >= F.lit(day)

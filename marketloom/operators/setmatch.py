@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars, tagger
+from marketloom.operators.names import rare_in
 from marketloom.session import stored
 
 
@@ -46,7 +47,8 @@ def with_set(listings: DataFrame, per_card: DataFrame) -> DataFrame:
     return known.withColumn("cardset", code).drop(*lists)
 
 
-def with_rarity(listings: DataFrame, cards: DataFrame) -> DataFrame:
-    rare = cards.filter(F.col("rarity") == "rare").select(F.col("name").alias("cardname")).distinct()
+def with_rarity(listings: DataFrame, cards: DataFrame, codes: DataFrame) -> DataFrame:
+    """Add ``rarity``: ``rare`` if one of the sets ``codes`` has a rare printing of the card."""
+    rare = rare_in(cards, codes).withColumnRenamed("name", "cardname")
     marked = listings.join(stored(rare.withColumn("_rare", F.lit(True)), "rare"), "cardname", "left")
     return marked.withColumn("rarity", scalars.rarity_flag(F.col("_rare"))).drop("_rare")

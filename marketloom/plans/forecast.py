@@ -21,15 +21,23 @@ INPUTS = LAGS + FEATURES + ("card_level",)
 def examples(frame: DataFrame, end_training) -> DataFrame:
     """One row per card and day: what is known that day, and the next days' targets.
 
-    Gaps of the target are filled forward for the inputs only; labels stay as
-    observed. The category enters as the card's mean level over the training
-    days, a single number however many cards there are.
+    Gaps of the target are filled forward for the inputs only, never from later
+    days; labels stay as observed. The category enters as the card's mean level
+    over the training days, a single number however many cards there are. Where
+    an input is missing, a past target falls back to that level, and the level
+    and the features to 0; such rows are not ``complete`` and not learnt from.
     """
     level = F.avg(F.when(F.col("date") <= end_training, F.col("target"))).over(W.partitionBy("cardname"))
-    known = frame.withColumn("_filled", S.fill(F.col("target"))).withColumn("card_level", level)
+    known = frame.withColumn("_filled", S.forward_fill(F.col("target"))).withColumn("card_level", level)
     lags = [S.lag_days(F.col("_filled"), i).alias(f"lag{i}") for i in range(CONTEXT)]
     labels = [F.lead("target", h).over(S.by_day()).alias(f"y{h}") for h in range(1, HORIZON + 1)]
-    return known.select("cardname", "date", *lags, *FEATURES, "card_level", *labels).dropna(subset=list(INPUTS))
+    rows = known.select("cardname", "date", *lags, *FEATURES, "card_level", *labels)
+    complete = F.lit(True)
+    for c in INPUTS:
+        complete = complete & F.col(c).isNotNull()
+    zero = F.lit(0.0)
+    spare = {c: F.coalesce(c, "card_level", zero) for c in LAGS} | {c: F.coalesce(c, zero) for c in (*FEATURES, "card_level")}
+    return rows.withColumn("complete", complete).withColumns(spare)
 
 
 def fit(rows: DataFrame, end_training) -> list[LinearRegressionModel]:
@@ -38,7 +46,7 @@ def fit(rows: DataFrame, end_training) -> list[LinearRegressionModel]:
     models = []
     for h in range(1, HORIZON + 1):
         label_day = F.date_add("date", h)
-        train = assembled.filter(F.col(f"y{h}").isNotNull() & (label_day <= end_training))
+        train = assembled.filter(F.col("complete") & F.col(f"y{h}").isNotNull() & (label_day <= end_training))
         models.append(
             LinearRegression(featuresCol="features", labelCol=f"y{h}", regParam=1e-6, solver="normal").fit(
                 train.select("features", f"y{h}")
@@ -48,19 +56,19 @@ def fit(rows: DataFrame, end_training) -> list[LinearRegressionModel]:
 
 
 def predict(rows: DataFrame, models: list[LinearRegressionModel]) -> DataFrame:
-    """``cardname, date, step, pred, actual``: the models as plain expressions."""
+    """``cardname, date, complete, step, pred, actual``: the models as plain expressions."""
     steps = []
     for h, model in enumerate(models, start=1):
         terms = [F.col(c) * F.lit(float(w)) for c, w in zip(INPUTS, model.coefficients)]
         pred = sum(terms, F.lit(float(model.intercept)))
         steps.append(F.struct(F.lit(h).alias("step"), pred.alias("pred"), F.col(f"y{h}").alias("actual")))
-    return rows.select("cardname", "date", F.inline(F.array(*steps)))
+    return rows.select("cardname", "date", "complete", F.inline(F.array(*steps)))
 
 
 def residual_quantiles(predictions: DataFrame, end_training) -> DataFrame:
     """Quantiles of the training error per step: a few numbers for each."""
     seen = predictions.filter(
-        F.col("actual").isNotNull() & (F.expr("date_add(date, step)") <= end_training)
+        F.col("complete") & F.col("actual").isNotNull() & (F.expr("date_add(date, step)") <= end_training)
     )
     error = F.col("actual") - F.col("pred")
     return seen.groupBy("step").agg(F.percentile_approx(error, list(QUANTILES), 10_000).alias("_q"))

@@ -256,11 +256,13 @@ def j12(m):
 
 @query(
     "j13_exists_flag",
-    """SELECT n.name, CASE WHEN EXISTS (SELECT 1 FROM {cards} c WHERE c.name=n.name AND c.rarity='rare') THEN 'rare' ELSE 'mythic' END AS rarity
+    """SELECT n.name, CASE WHEN EXISTS (SELECT 1 FROM {cards} c WHERE c.name=n.name AND c.rarity='rare'
+         AND c.setcode IN (SELECT code FROM {recent_sets})) THEN 'rare' ELSE 'mythic' END AS rarity
        FROM (SELECT DISTINCT name FROM {cards}) n""",
 )
 def j13(m):
-    return names.rarity_of(m["cards"].select("name").distinct(), m["cards"])
+    codes = names.sets_since(m["sets"], SINCE_SET)
+    return names.rarity_of(m["cards"].select("name").distinct(), m["cards"], codes)
 
 
 _SET_HITS = """

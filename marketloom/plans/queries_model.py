@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.plans import features, forecast
 from marketloom.plans.queries_market import model_names
-from marketloom.plans.queries_series import WINDOW, frame
+from marketloom.plans.queries_series import START, frame, inputs, window
 from marketloom.plans.registry import query
 from marketloom.session import stored
 from marketloom.sources import documents
@@ -18,7 +18,7 @@ query("m1_feature_frame", "SELECT cardname, date, target, price0, modratio, pior
 
 def instances(m: Market, test: bool = False) -> DataFrame:
     build = features.test_set if test else features.training_set
-    return build(frame(m), features.categories(model_names(m)), WINDOW)
+    return build(frame(m), features.categories(model_names(m)), window(m))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -37,24 +37,24 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _twin(end: str) -> str:
     return f"""SELECT l.cardname, n.category, CAST(l.date - DATE '1995-02-01' AS INT) AS pos,
                  l.target, l.price0, l.modratio, l.pioratio, l.standratio
-               FROM {{lagged}} l JOIN {{model_names}} n ON n.cardname=l.cardname
-               WHERE l.date BETWEEN DATE '1995-02-01' AND DATE '{end}'"""
+               FROM {{lagged}} l JOIN {{model_names}} n ON n.cardname=l.cardname CROSS JOIN {{span}}
+               WHERE l.date BETWEEN DATE '1995-02-01' AND {end}"""
 
 
-@query("m2_training_set", _twin("2001-10-24"))
+@query("m2_training_set", _twin("hi - 7"))
 def m2(m):
     return _rows(instances(m))
 
 
-@query("m6_test_set", _twin("2001-10-31"))
+@query("m6_test_set", _twin("hi"))
 def m6_set(m):
     return _rows(instances(m, test=True))
 
 
 @query(
     "q17_training_documents",
-    """SELECT CAST(category AS INT) AS category, '1995-02-01 00:00:00' AS start, CAST(DATE '2001-10-24' - DATE '1995-02-01' + 1 AS INT) AS n_target, 4 AS n_features
-       FROM {model_names}""",
+    """SELECT CAST(category AS INT) AS category, '1995-02-01 00:00:00' AS start, CAST(hi - 7 - DATE '1995-02-01' + 1 AS INT) AS n_target, 4 AS n_features
+       FROM {model_names} CROSS JOIN {span}""",
 )
 def q17(m):
     docs = features.documents(instances(m)).select(F.to_json(F.struct("*")).alias("value"))
@@ -70,7 +70,7 @@ def q17(m):
     "a13_length_check",
     """SELECT cardname, CAST(COUNT(*) AS INT) AS n_target, CAST(COUNT(price0) + COUNT(*) FILTER (WHERE price0 IS NULL) AS INT) AS shortest,
          CAST(COUNT(*) AS INT) AS longest, TRUE AS ok
-       FROM {lagged} WHERE date BETWEEN DATE '1995-02-01' AND DATE '2001-10-24' GROUP BY cardname""",
+       FROM {lagged} CROSS JOIN {span} WHERE date BETWEEN DATE '1995-02-01' AND hi - 7 GROUP BY cardname""",
 )
 def a13(m):
     return features.length_check(instances(m))
@@ -83,13 +83,13 @@ def q16(m):
 
 @query(
     "m5_request_encode",
-    """SELECT n.category, CAST(l.date - DATE '1995-02-01' AS INT) AS pos, l.target FROM {frame} l JOIN {model_names} n ON n.cardname=l.cardname
-       WHERE l.date BETWEEN DATE '1995-02-01' AND DATE '2001-10-31'""",
+    """SELECT n.category, CAST(l.date - DATE '1995-02-01' AS INT) AS pos, l.target FROM {frame} l JOIN {model_names} n ON n.cardname=l.cardname CROSS JOIN {span}
+       WHERE l.date BETWEEN DATE '1995-02-01' AND hi""",
 )
 def m5(m):
-    series = features.serving_series(frame(m), features.categories(model_names(m)), WINDOW)
+    series = features.serving_series(frame(m), features.categories(model_names(m)), window(m))
     text = documents.forecast_request(
-        F.lit(WINDOW.start), F.col("target"), F.array("category"), F.col("dynamic_feat"), ["0.05", "0.5", "0.85"]
+        F.lit(START), F.col("target"), F.array("category"), F.col("dynamic_feat"), ["0.05", "0.5", "0.85"]
     )
     body = F.from_json(text, "instances array<struct<start:string,target:array<string>,cat:array<int>>>")
     sent = series.select(body["instances"][0].alias("i"))
@@ -100,7 +100,13 @@ def m5(m):
 def _forecast(m: Market) -> DataFrame:
     # One written frame serves the fit and the forecast; the last known day is
     # one horizon before the end, so that the outcome is known.
-    return forecast.forecast(stored(frame(m), "frame"), WINDOW.end_training, WINDOW.end_training)
+    until = window(m).end_training
+    return forecast.forecast(stored(_known(m), "frame"), until, until)
+
+
+def _known(m: Market) -> DataFrame:
+    """The frame as it was known day by day: nothing filled from later days."""
+    return features.feature_frame(inputs(m), window(m), backward=False)
 
 
 @query("m3_forecast")
@@ -117,3 +123,16 @@ def m4(m):
 @query("m6_holdout_eval")
 def m6(m):
     return forecast.evaluate(_forecast(m))
+
+
+@query(
+    "q15_days_ahead",
+    """SELECT cardname, CAST(hi + CAST(step AS INT) AS DATE) AS date, CAST(step AS INT) AS step, TRUE AS in_order
+       FROM {model_names} CROSS JOIN {span} CROSS JOIN (SELECT unnest(generate_series(1, 7)) AS step) s""",
+)
+def q15(m):
+    """The days after the last one, for every card of the registry."""
+    last = F.lit(window(m).end).cast("date")
+    ahead = forecast.forecast(stored(_known(m), "frame"), last, last)
+    in_order = (F.col("q05") <= F.col("q50")) & (F.col("q50") <= F.col("q85"))
+    return ahead.select("cardname", "date", "step", in_order.alias("in_order"))

@@ -12,7 +12,7 @@ from marketloom.plans.queries_market import canonical, model_names, sale, share,
 from marketloom.plans.registry import query
 from marketloom.sources.tables import Market
 
-WINDOW = features.Window(start="1995-02-01", end="2001-10-31", calendar_start="1995-01-01")
+START, CALENDAR_START = "1995-02-01", "1995-01-01"
 LAST_DAY = "2001-11-01"
 
 
@@ -27,8 +27,13 @@ def inputs(m: Market) -> features.Inputs:
     )
 
 
+def window(m: Market) -> features.Window:
+    """Days of a model run; the calendar ends with the data."""
+    return features.Window(start=START, end=m.last_day or CALENDAR_START, calendar_start=CALENDAR_START)
+
+
 def frame(m: Market) -> DataFrame:
-    return features.feature_frame(inputs(m), WINDOW)
+    return features.feature_frame(inputs(m), window(m))
 
 
 def modern_series(m: Market) -> DataFrame:
@@ -54,7 +59,7 @@ def j9(m):
 )
 def j10(m):
     series = modern_series(m)
-    days = S.calendar(series.select("cardname").distinct(), F.lit(WINDOW.calendar_start), F.lit(WINDOW.end))
+    days = S.calendar(series.select("cardname").distinct(), F.lit(CALENDAR_START), F.lit(window(m).end))
     return S.reindex(series, days)
 
 
@@ -98,7 +103,7 @@ def w2(m):
 )
 def w3(m):
     series = digital.daily_digital(canonical(m))
-    days = S.calendar(series.select("cardname").distinct(), F.lit(WINDOW.calendar_start), F.lit(WINDOW.end))
+    days = S.calendar(series.select("cardname").distinct(), F.lit(CALENDAR_START), F.lit(window(m).end))
     return S.reindex(series, days).select("cardname", "date", S.fill(F.col("price0")).alias("price0"))
 
 
@@ -132,14 +137,14 @@ def w6(m):
 
 @query(
     "w7_date_split",
-    """SELECT cardname, COUNT(*) FILTER (WHERE date BETWEEN DATE '1995-02-01' AND DATE '2001-10-24') AS n_train, COUNT(*) AS n_test,
+    """SELECT cardname, COUNT(*) FILTER (WHERE date BETWEEN DATE '1995-02-01' AND hi - 7) AS n_train, COUNT(*) AS n_test,
          MIN(date) AS first_day, MAX(date) AS last_day
-       FROM {frame} WHERE date BETWEEN DATE '1995-02-01' AND DATE '2001-10-31' GROUP BY cardname""",
+       FROM {frame} CROSS JOIN {span} WHERE date BETWEEN DATE '1995-02-01' AND hi GROUP BY cardname""",
 )
 def w7(m):
-    day = F.col("date")
-    return frame(m).filter(S.between(WINDOW.start, WINDOW.end)).groupBy("cardname").agg(
-        F.count(F.when(day <= WINDOW.end_training, 1)).alias("n_train"),
+    day, days = F.col("date"), window(m)
+    return frame(m).filter(S.between(days.start, days.end)).groupBy("cardname").agg(
+        F.count(F.when(day <= days.end_training, 1)).alias("n_train"),
         F.count(F.lit(1)).alias("n_test"),
         F.min(day).alias("first_day"),
         F.max(day).alias("last_day"),
@@ -183,7 +188,7 @@ def w11(m):
 def w12(m):
     # Cards without any entry still get a full series of zeros.
     cards = m["card_defs"].select("cardname").distinct()
-    days = S.calendar(cards, F.lit(WINDOW.calendar_start), F.lit(WINDOW.end))
+    days = S.calendar(cards, F.lit(CALENDAR_START), F.lit(window(m).end))
     full = S.reindex(modern_series(m), days)
     return full.groupBy("cardname").agg(
         F.min(S.zero_fill(F.col("ratio"))).alias("least"), F.count("ratio").alias("played")
@@ -203,11 +208,11 @@ def w13(m):
 @query(
     "w14_history_plus_horizon",
     """SELECT cardname, COUNT(*) FILTER (WHERE date >= DATE '1995-02-01') AS n_target, COUNT(*) AS n_feature, SUM(CASE WHEN modratio>0 THEN 1 ELSE 0 END) AS played
-       FROM {frame} WHERE date BETWEEN DATE '1995-02-01' - 7 AND DATE '2001-10-31' GROUP BY cardname""",
+       FROM {frame} CROSS JOIN {span} WHERE date BETWEEN DATE '1995-02-01' - 7 AND hi GROUP BY cardname""",
 )
 def w14(m):
     full = frame(m)
-    series = features.serving_series(full, features.categories(model_names(m)), WINDOW)
+    series = features.serving_series(full, features.categories(model_names(m)), window(m))
     played = F.filter(F.col("dynamic_feat")[1], lambda v: v > 0)
     return series.select(
         "cardname",
@@ -293,4 +298,4 @@ for _n, _format in ((11, "pioneer"), (12, "modern"), (13, "standard")):
         f"""SELECT f.cardname, d.date, COALESCE(s.ratio,0) AS value FROM (
               SELECT cardname, MIN(carddate) AS lo FROM {{sale}} GROUP BY cardname) f
             JOIN {{days}} d ON d.date >= f.lo LEFT JOIN {{{_format}_share}} s ON s.cardname=f.cardname AND s.entrydate=d.date""",
-    )(lambda m, f=_format: history.share_history(share(m, f), sale(m), WINDOW.calendar_start, WINDOW.end))
+    )(lambda m, f=_format: history.share_history(share(m, f), sale(m), CALENDAR_START, window(m).end))

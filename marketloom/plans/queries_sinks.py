@@ -12,7 +12,7 @@ from marketloom.operators import digital, shares
 from marketloom.plans import features
 from marketloom.plans.queries_market import STORED_UNTIL, model_names, sale, universe
 from marketloom.plans.queries_model import instances
-from marketloom.plans.queries_series import WINDOW, frame, slopes
+from marketloom.plans.queries_series import frame, slopes, window
 from marketloom.plans.registry import query
 from marketloom.session import work_path
 from marketloom.sources.tables import Market
@@ -65,7 +65,7 @@ def snk5(m):
 
 @query(
     "snk6_json_lines",
-    """SELECT category, CAST(DATE '2001-10-31' - DATE '1995-02-01' + 1 AS INT) AS n_target FROM {model_names}""",
+    """SELECT category, CAST(hi - DATE '1995-02-01' + 1 AS INT) AS n_target FROM {model_names} CROSS JOIN {span}""",
 )
 def snk6(m):
     path = work_path(m.spark, "test-set")
@@ -93,12 +93,12 @@ def snk7(m):
 @query(
     "snk8_series_snapshot",
     """SELECT n.category, n.cardname, COUNT(*) FILTER (WHERE f.date >= DATE '1995-02-01') AS n_target, COUNT(*) AS n_feature
-       FROM {frame} f JOIN {model_names} n ON n.cardname=f.cardname WHERE f.date BETWEEN DATE '1995-02-01' - 7 AND DATE '2001-10-31'
+       FROM {frame} f JOIN {model_names} n ON n.cardname=f.cardname CROSS JOIN {span} WHERE f.date BETWEEN DATE '1995-02-01' - 7 AND hi
        GROUP BY n.category, n.cardname""",
 )
 def snk8(m):
     path = work_path(m.spark, "series")
-    sinks.series_snapshot(features.serving_series(frame(m), features.categories(model_names(m)), WINDOW), path)
+    sinks.series_snapshot(features.serving_series(frame(m), features.categories(model_names(m)), window(m)), path)
     return _back(m, path).select(
         "category", "cardname", F.size("target").alias("n_target"), F.size(F.col("dynamic_feat")[0]).alias("n_feature")
     )

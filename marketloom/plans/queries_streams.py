@@ -55,7 +55,7 @@ def st2(m):
 def st3(m):
     out, checkpoint = _places(m, "entries")
     ingest.ingest_entries(_stream(m, "lineitem"), out, checkpoint, _from_batch(m, "pioneer_decks"))
-    return m.spark.read.parquet(out).select("entrydate", "tourntitle", "cardname", "cardquant")
+    return ingest.stored_entries(m.spark, out).select("entrydate", "tourntitle", "cardname", "cardquant")
 
 
 @query("st4_stream_state", "SELECT customer, role, period_end FROM {members}")
@@ -80,11 +80,10 @@ def _followed(m: Market) -> DataFrame:
 
 @query(
     "st6_daily_price_stream",
-    """SELECT cardname, carddate, avge, med FROM {sale} WHERE carddate + 1 <= (SELECT MAX(carddate) FROM {clean_sales}
-         WHERE cardname IN (SELECT cardname FROM {universe})) - 2""",
+    "SELECT cardname, carddate, avge, med FROM {sale}",
 )
 def st6(m):
     out, checkpoint = _places(m, "daily")
     sales = m.derive(VIEWS["transactions"], lineitem=_stream(m, "lineitem"))
     daily.follow_daily_prices(sales, played(m), out, checkpoint)
-    return m.spark.read.parquet(out).select("cardname", "carddate", "avge", "med")
+    return daily.daily_prices(m.spark, out)

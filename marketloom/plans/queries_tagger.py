@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marketloom.functions import tagger
-from marketloom.operators import setmatch
-from marketloom.plans.queries_market import _sets_per_card
+from marketloom.operators import names, setmatch
+from marketloom.plans.queries_market import SINCE_SET, _sets_per_card
 from marketloom.plans.registry import query
 
 _TITLES = "(SELECT listing_id, title, lower(title) AS t, lower(cardname) AS n FROM {listings}) x"
@@ -85,11 +85,13 @@ _tag_query(
 
 @query(
     "tag_rarity",
-    """SELECT listing_id, title, CASE WHEN EXISTS (SELECT 1 FROM {cards} c WHERE c.name=l.cardname AND c.rarity='rare')
+    """SELECT listing_id, title, CASE WHEN EXISTS (SELECT 1 FROM {cards} c WHERE c.name=l.cardname AND c.rarity='rare'
+         AND c.setcode IN (SELECT code FROM {recent_sets}))
          THEN 'rare' ELSE 'mythic' END AS rarity FROM {listings} l""",
 )
 def tag_rarity(m):
-    return setmatch.with_rarity(m.listings, m["cards"]).select("listing_id", "title", "rarity")
+    codes = names.sets_since(m["sets"], SINCE_SET)
+    return setmatch.with_rarity(m.listings, m["cards"], codes).select("listing_id", "title", "rarity")
 
 
 @query(

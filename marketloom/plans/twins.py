@@ -84,7 +84,10 @@ TWINS = {
         LEFT JOIN {pioneer_share} pi ON k.cardname=pi.cardname AND k.date=pi.entrydate
         LEFT JOIN {standard_share} st ON k.cardname=st.cardname AND k.date=st.entrydate""",
     "days": """
-        SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-10-31', INTERVAL 1 DAY)) AS DATE) AS date""",
+        SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM {span}""",
+    # Where calendars end.
+    "span": """
+        SELECT MAX(date) AS hi FROM {card_prices}""",
     "frame_gaps": """
         SELECT n.cardname, d.date, a.target, a.price0, a.modratio, a.pioratio, a.standratio
         FROM {model_names} n CROSS JOIN {days} d LEFT JOIN {aligned} a ON a.cardname=n.cardname AND a.date=d.date""",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketloom.session import stored, tune
 from marketloom.sources.views import STORED, VIEWS, references
@@ -67,6 +69,12 @@ class Market:
         frames = {n: given.get(n) if n in given else self[n] for n in references(template)}
         return self.spark.sql(template, **frames)
 
+    @cached_property
+    def last_day(self) -> str | None:
+        """The last day of the stored sales, where calendars end; one aggregate over one column."""
+        day = self["lineitem"].agg(F.max(F.col("l_shipdate").cast("date"))).first()[0]
+        return day and day.isoformat()
+
     def spread(self, name: str) -> DataFrame:
         """A stored table for heavy work per row: one partition per core at least.
 

@@ -2,41 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.operators.names import only_names
 from marketloom.operators.quantiles import HOT_ROWS, avg_and_median
 from marketloom.operators.sales import clean_sales
-from marketloom.session import stored
-from marketloom.streaming.files import run_batches, write_batch
+from marketloom.streaming.files import last_batch, read_batches, run_batches, write_batch
 
-LATENESS = "2 days"
+GROUP = ["cardname", "carddate"]
 
 
-def follow_daily_prices(
-    sales: DataFrame, names: DataFrame, out: str, checkpoint: str, lateness: str = LATENESS, hot_rows: int = HOT_ROWS
-) -> None:
-    """Write a day's average and median once the watermark has closed the day.
+def follow_daily_prices(sales: DataFrame, names: DataFrame, out: str, checkpoint: str, hot_rows: int = HOT_ROWS) -> None:
+    """Store the new sales, then write average and median of every day they touch.
 
-    The state keeps distinct sales, not groups: its key is the whole sale, so a
-    hot card spreads over all state partitions. All sales of a closed day leave
-    the state in one batch, where the batch operator takes over.
+    A sale that comes late or out of order corrects its day, so nothing depends
+    on how the input is cut into files and no day waits for a later one. Days are
+    set once per run, from all stored sales between the first and the last day
+    touched. A run that breaks off before that is made up for by the next one.
     """
-    day_start = F.col("carddate").cast("timestamp")
-    distinct = (
-        only_names(clean_sales(sales), names)
-        .withColumn("ts", day_start)
-        .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", "1 day"), "title", "cardname", "carddate", "unit")
-        .agg(F.count(F.lit(1)).alias("_times"))
-        .select("cardname", "carddate", "unit")
-    )
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        # Written first: the batch operator reads its input more than once, and
-        # the state must be read only once per batch.
-        closed = stored(batch, "closed-sales")
-        write_batch(avg_and_median(closed, ["cardname", "carddate"], "unit", hot_rows=hot_rows), out, batch_id)
-
-    run_batches(distinct, handle, checkpoint)
+    spark, seen = sales.sparkSession, f"{out}-sales"
+    clean = only_names(clean_sales(sales), names).select("title", *GROUP, "unit")
+    run_batches(clean, lambda batch, batch_id: write_batch(batch.distinct(), seen, batch_id), checkpoint)
+    last, done = last_batch(spark, seen), last_batch(spark, out)
+    if last <= done:
+        return
+    new = read_batches(spark, seen, clean.schema, after=done)
+    first_day, last_day = new.agg(F.min("carddate"), F.max("carddate")).first()
+    near = read_batches(spark, seen, clean.schema).filter(F.col("carddate").between(first_day, last_day))
+    touched = near.join(new.select(*GROUP).distinct(), GROUP, "left_semi").distinct()
+    write_batch(avg_and_median(touched, GROUP, "unit", hot_rows=hot_rows), out, last)
+
+
+def daily_prices(spark: SparkSession, out: str) -> DataFrame:
+    """Each day's prices as the last run that touched it has set them."""
+    newest = F.max_by(F.struct("avge", "med"), "batch").alias("p")
+    return spark.read.parquet(out).groupBy(*GROUP).agg(newest).select(*GROUP, "p.avge", "p.med")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from marketloom.functions import tagger
 from marketloom.operators.incremental import in_range
 from marketloom.operators.shares import event_counts
 from marketloom.sources.documents import card_price_rows
-from marketloom.streaming.files import read_batches, run_batches, write_batch
+from marketloom.streaming.files import run_batches, run_with_known, write_batch
 
 RESCAN_DAYS = 14
 
@@ -26,16 +27,22 @@ def ingest_sales(
     """Pick the new listings in their card's wanted days, tag and append them.
 
     The high-water mark is one per card, which a stream's single watermark
-    cannot express, so each batch looks it up in what earlier batches stored.
+    cannot express. It is what earlier runs stored, the same for all batches.
     ``derive`` turns a batch of the source into ``title, cardname, carddate, ...``.
     """
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = derive(batch)
-        stored = read_batches(batch.sparkSession, out, rows.select("cardname", "carddate").schema, before=batch_id)
-        write_batch(tagger.tag(in_range(rows, stored, as_of)), out, batch_id)
+    schema = StructType([StructField("cardname", StringType()), StructField("carddate", DateType())])
 
-    run_batches(listings, handle, checkpoint)
+    def mark(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("cardname").agg(F.max("carddate").alias("carddate"))
+
+    def run(known: DataFrame) -> None:
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            write_batch(tagger.tag(in_range(derive(batch), known, as_of)), out, batch_id)
+
+        run_batches(listings, handle, checkpoint)
+
+    run_with_known(listings.sparkSession, out, schema, mark, run)
 
 
 def ingest_prices(documents: DataFrame, out: str, checkpoint: str) -> None:
@@ -57,18 +64,28 @@ def ingest_entries(
     checkpoint: str,
     derive: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> None:
-    """Add up the cards of tournaments not stored yet.
+    """Add up the cards of tournaments that earlier runs have not stored yet.
 
-    Each scan covers the last days again. An event counts as known if its title
-    and day are stored; only days a scan can still show are looked up.
+    Each scan covers the last days again. An event counts as known if a finished
+    run stored its title and day; only days a scan can still show are looked up.
+    An event in several files has rows in several batches: ``stored_entries``
+    adds them up.
     """
+    schema = StructType([StructField("tourntitle", StringType()), StructField("entrydate", DateType())])
+
+    def recent(rows: DataFrame) -> DataFrame:
+        newest = rows.agg(F.max("entrydate")).scalar()
+        return rows.filter(F.col("entrydate") >= F.date_sub(newest, RESCAN_DAYS)).distinct()
+
+    def run(known: DataFrame) -> None:
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            write_batch(event_counts(derive(batch)).join(known, schema.names, "left_anti"), out, batch_id)
+
+        run_batches(entries, handle, checkpoint)
+
+    run_with_known(entries.sparkSession, out, schema, recent, run)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        counts = event_counts(derive(batch))
-        event = ["tourntitle", "entrydate"]
-        stored = read_batches(batch.sparkSession, out, counts.schema, before=batch_id)
-        newest = stored.agg(F.max("entrydate")).scalar()
-        known = stored.filter(F.col("entrydate") >= F.date_sub(newest, RESCAN_DAYS)).select(*event).distinct()
-        write_batch(counts.join(known, event, "left_anti"), out, batch_id)
 
-    run_batches(entries, handle, checkpoint)
+def stored_entries(spark: SparkSession, out: str) -> DataFrame:
+    """The entries of all runs, one row per event and card."""
+    return event_counts(spark.read.parquet(out))

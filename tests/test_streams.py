@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from marketloom.operators import members, names, sales
+from marketloom.operators import members, names
 from marketloom.plans.queries_market import sale
 from marketloom.streaming import daily, ingest, membership
 from marketloom.streaming.files import file_stream
@@ -33,21 +33,38 @@ def test_membership_equals_batch(spark, market, tmp_path):
     assert rows(membership.current(spark, out, market["sub_events"])) == want
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 0])
-def test_daily_prices_equal_batch(spark, market, tmp_path, hot_rows):
-    tx = market["transactions"]
-    year = F.year("carddate")
-    tx = tx.withColumn("part", F.when(year < 1997, 0).when(year < 1999, 1).otherwise(2))
-    schema = _split(tx, str(tmp_path / "in"), 3)
+@pytest.mark.parametrize(("hot_rows", "files"), [(10**6, 1), (10**6, 4), (0, 4)])
+def test_daily_prices_equal_batch(spark, market, tmp_path, hot_rows, files):
+    # Days are dealt over all files, so each file brings late sales.
+    tx = market["transactions"].withColumn("part", F.pmod(F.xxhash64("title", "price"), F.lit(files)).cast("int"))
+    schema = _split(tx, str(tmp_path / "in"), files)
     listed = names.names_in_all(market.decks("pioneer"), market.decks("modern"))
     out = str(tmp_path / "out")
     stream = file_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
     daily.follow_daily_prices(stream, listed, out, str(tmp_path / "cp"), hot_rows=hot_rows)
-    batch = sale(market)
-    clean = names.only_names(sales.clean_sales(market["transactions"]), listed)
-    closed = clean.agg(F.date_sub(F.max("carddate"), 3)).first()[0]
-    want = [(r[0], r[1], pytest.approx(r[2]), r[3]) for r in rows(batch.filter(F.col("carddate") <= F.lit(closed)))]
-    assert rows(spark.read.parquet(out).select("cardname", "carddate", "avge", "med")) == want
+    want = [(r[0], r[1], pytest.approx(r[2]), r[3]) for r in rows(sale(market).select("cardname", "carddate", "avge", "med"))]
+    assert rows(daily.daily_prices(spark, out)) == want
+
+
+def test_a_later_run_corrects_a_day(spark, market, tmp_path):
+    tx = market["transactions"].withColumn("part", F.pmod(F.xxhash64("title", "price"), F.lit(2)).cast("int"))
+    listed = names.names_in_all(market.decks("pioneer"), market.decks("modern"))
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(2):
+        tx.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+        stream = file_stream(spark, path, tx.drop("part").schema)
+        daily.follow_daily_prices(stream, listed, out, str(tmp_path / "cp"))
+    want = [(r[0], r[1], pytest.approx(r[2]), r[3]) for r in rows(sale(market).select("cardname", "carddate", "avge", "med"))]
+    assert rows(daily.daily_prices(spark, out)) == want
+
+
+def _sales_run(spark, tmp_path, batches):
+    data = [(*row, i) for i, b in enumerate(batches) for row in b]
+    df = spark.createDataFrame(data, "title string, cardname string, carddate date, part int")
+    schema = _split(df, str(tmp_path / "in"), len(batches))
+    out = str(tmp_path / "out")
+    ingest.ingest_sales(file_stream(spark, str(tmp_path / "in"), schema, 1), out, str(tmp_path / "cp"), "2024-01-10")
+    return [r["title"] for r in spark.read.parquet(out).orderBy("title").collect()]
 
 
 def test_sales_follow_each_cards_high_water(spark, tmp_path):
@@ -56,25 +73,40 @@ def test_sales_follow_each_cards_high_water(spark, tmp_path):
         [("A again", "A", D(2024, 1, 5)), ("A two", "A", D(2024, 1, 6)), ("B two", "B", D(2024, 1, 5)), ("C one", "C", D(2024, 1, 1))],
         [("B late", "B", D(2024, 1, 4)), ("A today", "A", D(2024, 1, 10)), ("nothing", "A", D(2024, 1, 9))],
     ]
-    data = [(*row, i) for i, b in enumerate(batches) for row in b]
-    df = spark.createDataFrame(data, "title string, cardname string, carddate date, part int")
-    schema = _split(df, str(tmp_path / "in"), 3)
-    out = str(tmp_path / "out")
-    ingest.ingest_sales(file_stream(spark, str(tmp_path / "in"), schema, 1), out, str(tmp_path / "cp"), "2024-01-10")
-    assert [r["title"] for r in spark.read.parquet(out).orderBy("title").collect()] == ["A one", "A two", "B one", "B two", "C one"]
+    # One run has one mark, however its files are cut.
+    first = ["A again", "A one", "A two", "B late", "B one", "B two", "C one"]
+    assert _sales_run(spark, tmp_path, batches) == first
+    later = [[("A same day", "A", D(2024, 1, 6)), ("B older", "B", D(2024, 1, 4))], [("A new", "A", D(2024, 1, 8)), ("C new", "C", D(2024, 1, 2))]]
+    assert _sales_run(spark, tmp_path, later) == sorted([*first, "A new", "C new"])
+    # The mark is carried on over a run that brings nothing of a card.
+    assert _sales_run(spark, tmp_path, [[("B older", "B", D(2024, 1, 5)), ("B new", "B", D(2024, 1, 6))]]) == sorted([*first, "A new", "C new", "B new"])
+
+
+def test_sales_go_on_from_a_seeded_store(spark, tmp_path):
+    seeded = spark.createDataFrame([("A kept", "A", D(2024, 1, 5))], "title string, cardname string, carddate date")
+    seeded.write.parquet(str(tmp_path / "out" / "batch=-1"))
+    batches = [[("A older", "A", D(2024, 1, 4))], [("A new", "A", D(2024, 1, 7)), ("A next", "A", D(2024, 1, 6))]]
+    assert _sales_run(spark, tmp_path, batches) == ["A kept", "A new", "A next"]
 
 
 def test_known_tournaments_are_skipped(spark, tmp_path):
-    data = [
-        ("A", D(2024, 1, 1), 4, "T1", 0), ("A", D(2024, 1, 1), 2, "T1", 0), ("B", D(2024, 1, 2), 1, "T1", 0),
-        ("A", D(2024, 1, 1), 4, "T1", 1), ("A", D(2024, 1, 2), 3, "T2", 1),
-    ]
-    df = spark.createDataFrame(data, "cardname string, entrydate date, cardquant int, tourntitle string, part int")
-    schema = _split(df, str(tmp_path / "in"), 2)
+    runs = [
+        [
+            ("A", D(2024, 1, 1), 4, "T1", 0), ("A", D(2024, 1, 1), 2, "T1", 0), ("B", D(2024, 1, 2), 1, "T1", 0),
+            ("A", D(2024, 1, 1), 4, "T1", 1), ("A", D(2024, 1, 2), 3, "T2", 1),
+        ],
+        [("A", D(2024, 1, 1), 4, "T1", 0), ("C", D(2024, 1, 3), 2, "T3", 0), ("D", D(2024, 1, 3), 2, "T3", 1)],
+    ]
     out = str(tmp_path / "out")
-    ingest.ingest_entries(file_stream(spark, str(tmp_path / "in"), schema, 1), out, str(tmp_path / "cp"))
-    got = spark.read.parquet(out).select("entrydate", "tourntitle", "cardname", "cardquant")
-    assert rows(got) == [(D(2024, 1, 1), "T1", "A", 6), (D(2024, 1, 2), "T1", "B", 1), (D(2024, 1, 2), "T2", "A", 3)]
+    for data in runs:
+        df = spark.createDataFrame(data, "cardname string, entrydate date, cardquant int, tourntitle string, part int")
+        schema = _split(df, str(tmp_path / "in"), 2)
+        ingest.ingest_entries(file_stream(spark, str(tmp_path / "in"), schema, 1), out, str(tmp_path / "cp"))
+    got = ingest.stored_entries(spark, out).select("entrydate", "tourntitle", "cardname", "cardquant")
+    assert rows(got) == [
+        (D(2024, 1, 1), "T1", "A", 10), (D(2024, 1, 2), "T1", "B", 1), (D(2024, 1, 2), "T2", "A", 3),
+        (D(2024, 1, 3), "T3", "C", 2), (D(2024, 1, 3), "T3", "D", 2),
+    ]
 
 
 def test_prices_are_read_once(spark, tmp_path):
