@@ -34,6 +34,12 @@ CACHED = 300_000
 STRIP = b".,;:!?*%&#$|()[]\"'"
 
 
+def _words(text: bytes | str | None) -> set[bytes]:
+    if not isinstance(text, bytes):
+        text = b"" if text is None else str(text).encode()
+    return set(text.lower().split())
+
+
 class Features:
     """The distinct hashed features of a whole text, sorted."""
 
@@ -49,7 +55,7 @@ class Features:
         return tuple(xxhash.xxh3_64_intdigest(p) >> (64 - BITS) for p in parts)
 
     def of(self, text: bytes | None) -> np.ndarray:
-        words = set((text or b"").lower().split())
+        words = _words(text)
         if len(self.cache) > CACHED:
             self.cache.clear()
         cache, found = self.cache, set()
@@ -185,11 +191,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     confirmed = _part(known.filter("toxic = 1"), "i", POSITIVES).select("i", "toxic")
     text = docs.select(F.col(id_col).alias("i"), text_of(text_col).alias("text")).filter(~held_out("i"))
     # Both tables are bounded by the sample sizes above.
-    positives = text.join(F.broadcast(confirmed), "i").select("toxic", "text")
+    positives = text.join(F.broadcast(confirmed), "i").select("i", "toxic", "text")
     # Unlabelled means any text, the toxic share of all documents among it.
     rest = _part(docs.select(F.col(id_col).alias("i")).filter(~held_out("i")), "i", UNLABELLED)
-    unlabelled = text.join(F.broadcast(rest.distinct()), "i").select(F.lit(0).alias("toxic"), "text")
-    got = _sampled(positives.unionByName(unlabelled))
+    unlabelled = text.join(F.broadcast(rest.distinct()), "i").select("i", F.lit(0).alias("toxic"), "text")
+    # One row of each identifier, so that the bound holds where identifiers repeat.
+    both = positives.unionByName(unlabelled).groupBy("i", "toxic").agg(F.min("text").alias("text"))
+    got = _sampled(both.select("toxic", "text"))
     p, u = _unlike([f for t, f in got if t == 1]), _unlike([f for t, f in got if t != 1])
     if not p:
         return {}, float(np.log(prior / (1 - prior)))
@@ -202,16 +210,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {int(f): float(x) for f, x in zip(chosen, w)}, b + _shift(Bag(cut(u), len(chosen)).margins(w, b), prior)
 
 
-def _scorer(weights: dict[int, float], bias: float):
+def _scorer(weights: dict[int, float], bias: float, field: int | None):
+    """Rows with their scores; the text is the second column, or a field of the first one."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, known = Features(), {}
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            texts = batch.column(1) if field is None else batch.column(0).field(field)
+            for i, text in enumerate(texts):
+                text = text.as_py()
                 if len(known) > CACHED:
                     known.clear()
                 found: set[int] = set()
-                for word in set((text or b"").lower().split()):
+                for word in _words(text):
                     got = known.get(word)
                     if got is None:
                         got = known[word] = tuple(f for f in make.of_word(word) if f in weights)
@@ -219,15 +231,15 @@ def _scorer(weights: dict[int, float], bias: float):
                         found.update(got)
                 out[i] = bias + sum(weights[f] for f in sorted(found))
             scores = pa.array(_sigmoid(out), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], scores], names=["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["row", "score"])
 
     return score
 
 
-def _scored(docs: DataFrame, model, row, text_col: str) -> DataFrame:
-    one = docs.select(row.alias("row"), text_of(text_col).alias("text"))
+def _scored(docs: DataFrame, model, row: Column, *text: Column, field: int | None = None) -> DataFrame:
+    one = docs.select(row.alias("row"), *text)
     schema = T.StructType([one.schema["row"], T.StructField("score", T.DoubleType())])
-    return one.mapInArrow(_scorer(*model), schema)
+    return one.mapInArrow(_scorer(*model, field), schema)
 
 
 def score_toxicity(
@@ -240,7 +252,7 @@ def score_toxicity(
     labels of unknown documents are not learnt; a document labelled twice counts
     as toxic if one says so. An empty table gives no rows.
     """
-    done = _scored(docs, train(docs, labels, id_col, text_col), F.col(id_col), text_col)
+    done = _scored(docs, train(docs, labels, id_col, text_col), F.col(id_col), text_of(text_col).cast("binary"))
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
     return done.select(F.col("row").alias("doc_id"), held_out("row").alias("held_out"), "score", predicted)
 
@@ -250,5 +262,7 @@ def keep_civil(
 ) -> DataFrame:
     """The input rows that score below the threshold, with all their columns."""
     model = train(docs, labels, id_col, text_col)
-    done = _scored(docs, model, F.struct("*"), text_col)
+    # The text travels once, inside its row.
+    field = [c.lower() for c in docs.columns].index(text_col.lower())
+    done = _scored(docs, model, F.struct("*"), field=field)
     return done.filter(F.col("score") < threshold).select("row.*")
