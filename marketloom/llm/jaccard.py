@@ -10,8 +10,10 @@ block: the hash range is cut into more segments than a linking pair may have
 differing shingles, so such a pair agrees on a whole segment. Texts that agree
 on a segment meet in the block of the smallest of them. Segments hold several
 shingles spread over the whole text, so texts that only share passages seldom
-meet; those with too many shingles of their own are set aside before blocks form. Blocks above a bounded number of shingles are cut into chunks, and each
-pair of chunks is a task; there is no cap, and no link is lost.
+meet; those with too many shingles of their own are set aside before blocks form,
+and blocks that lie within another one go. Blocks above a bounded number of
+shingles are cut into chunks, and each pair of chunks is a task; there is no cap,
+and no link is lost.
 """
 
 from __future__ import annotations
@@ -141,43 +143,74 @@ def _signed(words: int, bound: Bound, bits: int):
     return signed
 
 
+def _matching(make: Shingler, batch: pa.RecordBatch, seen: set[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, digest, ...): the rows whose text has the digest, with their shingles; repeated rows are left out."""
+    wanted = batch.column(1).to_pylist()
+    if len(seen) >= DIGESTS_SEEN:
+        seen.clear()
+    for i, s in enumerate(make.sets(batch.column(0))):
+        found = digest(s)
+        if found == wanted[i] and found not in seen:
+            seen.add(found)
+            yield i, s
+
+
 def _with_sets(words: int):
-    """(text, digest, sid) -> the shingles of the rows whose text has the digest."""
+    """(text, digest, to) -> the shingles of the rows whose text has the digest."""
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(words)
+        make, seen = Shingler(words), set()
+
+        def taken(batch: pa.RecordBatch, rows: list[int], cells: list[bytes]) -> pa.RecordBatch:
+            some = batch.take(pa.array(rows, pa.int64()))
+            cols = [some.column(1), some.column(2), pa.array(cells, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["digest", "to", "cells"])
+
         for batch in batches:
-            wanted = batch.column(1).to_pylist()
             rows, cells, held = [], [], 0
-            for i, s in enumerate(make.sets(batch.column(0))):
-                if digest(s) == wanted[i]:
-                    rows.append(i)
-                    cells.append(s.tobytes())
-                    held += len(cells[-1])
-                if rows and (held > 16 << 20 or i == len(wanted) - 1):
-                    some = batch.take(pa.array(rows, pa.int64()))
-                    cols = [some.column(1), some.column(2), pa.array(cells, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["digest", "sid", "cells"])
+            for i, s in _matching(make, batch, seen):
+                rows.append(i)
+                cells.append(s.tobytes())
+                held += len(cells[-1])
+                if held > 16 << 20:
+                    yield taken(batch, rows, cells)
                     rows, cells, held = [], [], 0
+            if rows:
+                yield taken(batch, rows, cells)
 
     return with_sets
 
 
-def _part_of_sets(bits: int):
-    """(sid, cells) -> the shingles of one half of the hash range, a row each.
+def _half_of_sets(words: int, bits: int):
+    """(text, digest, sid) -> the shingles of one half of the hash range, a row each.
 
     Shortened to ``bits``: two that meet by chance count as shared, which only
     leaves a set in.
     """
 
-    def part_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def half_of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, seen = Shingler(words), set()
         for batch in batches:
-            for sid, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = np.frombuffer(cell.as_py(), U64)
+            sids = batch.column(2).to_pylist()
+            for i, s in _matching(make, batch, seen):
                 s = (s[s & U64(1) == 0] >> U64(64 - bits)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), sid))], names=["hash", "sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), sids[i]))], names=["hash", "sid"])
 
-    return part_of_sets
+    return half_of_sets
+
+
+def _not_nested(routes: DataFrame) -> DataFrame:
+    """Routes (sid, block, ...) without the blocks whose sets all lie in one earlier block.
+
+    A block is named by a set. Where that set lies in an earlier block too, and
+    all others of its block with it, every pair of the block meets there. Near
+    copies lie in many such blocks.
+    """
+    outer = routes.groupBy(F.col("sid").alias("block")).agg(F.min("block").alias("outer")).filter("outer < block")
+    within = routes.select("sid", "block").join(outer, "block")
+    also = routes.select("sid", F.col("block").alias("outer"), F.lit(1).alias("both"))
+    nested = within.join(also, ["sid", "outer"], "left").groupBy("block").agg(F.count("both").alias("both"), F.count(F.lit(1)).alias("sets"))
+    return routes.join(nested.filter("both = sets").select("block"), "block", "left_anti")
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, bound: Bound) -> list[tuple[int, int]]:
@@ -260,22 +293,30 @@ def _links(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, chunk: in
     least, most = F.expr("min(sid) OVER (PARTITION BY key)"), F.expr("max(sid) OVER (PARTITION BY key)")
     met = keys.select("sid", least.alias("block"), most.alias("last")).filter("block < last")
     routes = stored(met.select("sid", "block").distinct(), "ngram-routes")
-    wanted = sets.join(routes.select("sid").distinct(), "sid").select(F.col("doc_id").alias("wanted"), "digest", "sid")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "digest", "sid")
-    cells = stored(texts.mapInArrow(_with_sets(words), "digest binary, sid long, cells binary"), "ngram-cells")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """One text of each set of ``wanted`` (sid, to); sets are made from it anew, they are wider than texts."""
+        ids = sets.join(wanted, "sid").select(F.col("doc_id").alias("its"), "digest", "to")
+        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("its"))).select("text", "digest", "to")
+
     # Lists of one: a set with more shingles that no other has than a linking set
     # may lack links with nothing. Half of the shingles show most such sets.
-    half = cells.select("sid", "cells").mapInArrow(_part_of_sets(bits), "hash long, sid long")
+    half = texts(routes.select("sid", F.col("sid").alias("to")).distinct()).mapInArrow(_half_of_sets(words, bits), "hash long, sid long")
     single = half.groupBy("hash").agg(F.count(F.lit(1)).alias("holders"), F.min("sid").alias("sid")).filter("holders = 1")
     alone = single.groupBy("sid").agg(F.count(F.lit(1)).alias("alone")).join(sets.select("sid", "n"), "sid")
     spare = F.floor(F.col("n") * (bound.den - bound.num) / F.lit(bound.den))
     lone = alone.filter(F.col("alone") > spare).select("sid").distinct()
-    left = stored(routes.join(lone, "sid", "left_anti").join(sets.select("sid", "n"), "sid"), "ngram-left")
+    met = stored(routes.join(lone, "sid", "left_anti").join(sets.select("sid", "n"), "sid"), "ngram-met")
+    left = stored(_not_nested(met), "ngram-left")
     parts = left.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all"))
     parts = parts.filter("sets > 1").select("block", F.ceil(F.col("all") / F.lit(chunk)).cast("int").alias("chunks"))
-    per_set = left.join(parts, "block").groupBy("sid").agg(F.collect_set(F.struct("block", "chunks")).alias("blocks"))
+    per_set = left.join(parts, "block").groupBy("sid").agg(F.collect_set(F.struct("block", "chunks")).alias("to"))
+    per_set = stored(per_set, "ngram-blocks")
+    cells = texts(per_set).mapInArrow(
+        _with_sets(words), T.StructType([T.StructField("digest", T.BinaryType()), per_set.schema["to"], T.StructField("cells", T.BinaryType())])
+    )
     # A set goes to its blocks; in a block of several chunks, to each pair of its own chunk with another.
-    routed = cells.join(per_set, "sid").select("digest", "cells", F.explode("blocks").alias("to"))
+    routed = cells.select("digest", "cells", F.explode("to").alias("to"))
     routed = routed.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("to.chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("to.chunks") - 1))
     placed = routed.select("digest", "cells", "chunk", F.col("to.block").alias("block"), other.alias("other"))
@@ -342,13 +383,15 @@ def keep_first(
     digests = F.collect_set(F.when(F.col("stays"), F.col("digest")))
     by_id = stays.groupBy(F.col("doc_id").alias("its")).agg(F.count(F.lit(1)).alias("same"), digests.alias("keep"))
     by_id = stored(by_id, "ngram-stays")
-    all_ = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), text_of(text_col).alias("text"))
     mine = F.col("i").eqNullSafe(F.col("its"))
-    # What goes is the smaller part: where it is small, texts need no shuffle.
-    goes = by_id.filter((F.col("same") > 1) | (F.size("keep") == 0)).select("its")
+    all_ = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"))
+    # What goes is the smaller part; written by itself its true size is known, and where that is small texts need no shuffle.
+    goes = stored(by_id.filter((F.col("same") > 1) | (F.size("keep") == 0)).select("its"), "ngram-goes")
     alone = all_.join(goes, mine, "left_anti").select("row")
     # Several rows of one identifier: only those whose text is the one kept, once each.
-    several = all_.join(by_id.filter((F.col("same") > 1) & (F.size("keep") > 0)), mine).select("row", "i", "text", "keep")
+    repeated = stored(by_id.filter((F.col("same") > 1) & (F.size("keep") > 0)), "ngram-repeated")
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).alias("text")
+    several = all_.join(repeated, mine).select("row", "i", text, "keep")
     checked = several.mapInArrow(_checked(words), T.StructType([*several.schema.fields[:2], T.StructField("digest", T.BinaryType())]))
     first = F.expr("row_number() OVER (PARTITION BY i, digest ORDER BY row)")
     once = checked.withColumn("place", first).filter("place = 1").select("row")
