@@ -102,6 +102,14 @@ def graded(text: Column, name: Column, strict: bool = False) -> Column:
     return F.when(F.array_contains(F.array(*hits), True), F.lit(True))
 
 
+def booster_box(text: Column, strict: bool = False) -> Column:
+    return _hit(text, "booster box", strict) | _hit(text, "boosterbox", strict)
+
+
+def commander_deck(text: Column, strict: bool = False) -> Column:
+    return _hit(text, "commander deck", strict)
+
+
 def set_code(text: Column, name: Column, by_alias: Column, by_code: Column, by_name: Column) -> Column:
     """The set a title names.
 
@@ -178,8 +186,8 @@ def tag(df: DataFrame, strict: bool = False) -> DataFrame:
             "isfoil": is_word_outside_name(t, n, "foil", strict),
             "isemblem": is_word_outside_name(t, n, "emblem", strict),
             "istoken": is_word_outside_name(t, n, "token", strict),
-            "isboosterbox": _hit(t, "booster box", strict) | _hit(t, "boosterbox", strict),
-            "iscommanderdeck": _hit(t, "commander deck", strict),
+            "isboosterbox": booster_box(t, strict),
+            "iscommanderdeck": commander_deck(t, strict),
             "cardspecial": special(t, n, strict),
             "cardlanguage": language(t, strict),
             "cardcondition": condition(t, strict),

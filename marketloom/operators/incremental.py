@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +55,10 @@ def until_stop(rows: DataFrame, page: list[str], position: str, day: Column, lo:
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is not stored yet; a NULL key counts as new."""
-    return rows.join(stored.select(*keys).distinct(), keys, "left_anti")
+    """Rows whose key is not stored yet; NULL is a key like any other."""
+    known = stored.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(known, same, "left_anti")
 
 
 def with_several_items(items: DataFrame, page: list[str]) -> DataFrame:

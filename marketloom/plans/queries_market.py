@@ -221,8 +221,7 @@ def j5(m):
 
 @query(
     "j6_argmin",
-    """SELECT a.* FROM {card_defs} a JOIN (SELECT cardname, MIN(card_id) AS card_id FROM {card_defs} GROUP BY cardname) b
-         ON a.cardname=b.cardname AND a.card_id=b.card_id""",
+    "SELECT * FROM {card_defs} QUALIFY card_id = MIN(card_id) OVER (PARTITION BY cardname)",
 )
 def j6(m):
     return digital.smallest_version(m["card_defs"])

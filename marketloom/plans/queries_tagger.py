@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import tagger
 from marketloom.operators import names, setmatch
-from marketloom.plans.queries_market import SINCE_SET, _sets_per_card
+from marketloom.plans.queries_market import SINCE_SET
 from marketloom.plans.registry import query
 
 _TITLES = "(SELECT listing_id, title, lower(title) AS t, lower(cardname) AS n FROM {listings}) x"
@@ -55,11 +55,11 @@ for _word in ("foil", "emblem", "token"):
 _tag_query(
     "tag_box",
     "isboosterbox",
-    lambda t, n: F.contains(t, F.lit("booster box")) | F.contains(t, F.lit("boosterbox")),
+    lambda t, n: tagger.booster_box(t),
     "(contains(t,'booster box') OR contains(t,'boosterbox'))",
 )
 _tag_query(
-    "tag_commander_deck", "iscommanderdeck", lambda t, n: F.contains(t, F.lit("commander deck")), "contains(t,'commander deck')"
+    "tag_commander_deck", "iscommanderdeck", lambda t, n: tagger.commander_deck(t), "contains(t,'commander deck')"
 )
 _tag_query("tag_special", "cardspecial", tagger.special, _first([(_text(w), w) for w in tagger.SPECIAL_WORDS], True))
 _tag_query("tag_language", "cardlanguage", lambda t, n: tagger.language(t), _first([(_text(w), w) for w in tagger.LANGUAGES], False))
@@ -100,11 +100,17 @@ def tag_rarity(m):
           COUNT(*) FILTER (WHERE {' OR '.join(_has(w, True) for w in tagger.LOT_WORDS)}) AS n_lot,
           COUNT({_first([(_text(w), w) for w in tagger.SPECIAL_WORDS], True)}) AS n_special,
           COUNT({_first([(_text(w), w) for w in tagger.CONDITIONS], False)}) AS n_condition,
-          SUM({_first([(str(n), p.format(n=n)) for n in range(tagger.LARGEST_QUANTITY, 0, -1) for p in tagger.QUANTITY_PATTERNS], False, "CASE WHEN contains(t,'playset') THEN 4 END")}) AS copies
+          SUM({_first([(str(n), p.format(n=n)) for n in range(tagger.LARGEST_QUANTITY, 0, -1) for p in tagger.QUANTITY_PATTERNS], False, "CASE WHEN contains(t,'playset') THEN 4 END")}) AS copies,
+          COUNT({_first([(_text(w), w) for w in tagger.LANGUAGES], False)}) AS n_language,
+          COUNT(*) FILTER (WHERE {' OR '.join(_has(w, True, '') for w in tagger.GRADE_WORDS)}) AS n_graded,
+          COUNT(*) FILTER (WHERE {_has('emblem', True)}) AS n_emblem, COUNT(*) FILTER (WHERE {_has('token', True)}) AS n_token,
+          COUNT(*) FILTER (WHERE {_has('booster box', False)} OR {_has('boosterbox', False)}) AS n_box,
+          COUNT(*) FILTER (WHERE {_has('commander deck', False)}) AS n_commander_deck,
+          COUNT(*) FILTER (WHERE FALSE) AS n_possibly_bad, COUNT(*) FILTER (WHERE FALSE) AS n_banned
         FROM (SELECT cardname, lower(title) AS t, lower(cardname) AS n FROM {{listings}}) x WHERE contains(t,n) GROUP BY cardname""",
 )
 def tag_all(m):
-    tagged = tagger.tag(setmatch.with_set(m.listings, _sets_per_card(m)))
+    tagged = tagger.tag(m.listings)
     return tagged.groupBy("cardname").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("isfoil").alias("n_foil"),
@@ -112,4 +118,12 @@ def tag_all(m):
         F.count("cardspecial").alias("n_special"),
         F.count("cardcondition").alias("n_condition"),
         F.sum("cardquantity").alias("copies"),
+        F.count("cardlanguage").alias("n_language"),
+        F.count_if("isgraded").alias("n_graded"),
+        F.count_if("isemblem").alias("n_emblem"),
+        F.count_if("istoken").alias("n_token"),
+        F.count_if("isboosterbox").alias("n_box"),
+        F.count_if("iscommanderdeck").alias("n_commander_deck"),
+        F.count_if("possiblybad").alias("n_possibly_bad"),
+        F.count_if("isbanned").alias("n_banned"),
     )

@@ -22,9 +22,9 @@ DEFAULTS = {
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators are written for."""
-    from_builder = spark.sparkContext.getConf()
+    chosen = spark.conf.getAll  # by the cluster, the builder or the user
     for key, value in DEFAULTS.items():
-        if not from_builder.contains(key):
+        if key not in chosen:
             spark.conf.set(key, value)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")

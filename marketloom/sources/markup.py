@@ -31,11 +31,14 @@ LISTING_SCHEMA = (
 
 # One scan of a page visits only these tags; comments and scripts are stepped over.
 _TOKEN = re.compile(
-    r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<(/?)(div|span|table|a|td)\b([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>",
+    r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<(/?)(div|span|table|a|tr|th|td)\b([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>",
     re.I | re.S,
 )
 _ATTRIBUTE = re.compile(r"""([\w-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _ANY_TAG = re.compile(r"<[^>]*>")
+_ONE_CHILD = re.compile(r"<([a-z][\w-]*)\b[^>]*>(.*)</\1\s*>", re.I | re.S)
+# What an opening tag ends, back to the innermost table.
+_ENDS = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 
 
 @lru_cache(maxsize=4096)
@@ -47,73 +50,107 @@ def _plain_text(markup: str) -> str:
     return unescape(_ANY_TAG.sub("", markup) if "<" in markup else markup)
 
 
+def _only_text(markup: str) -> str | None:
+    """The text of an element whose only child is a text, or an element of that kind; else none."""
+    while "<" in markup:
+        child = _ONE_CHILD.fullmatch(markup)
+        if child is None:
+            return None
+        markup = child[2]
+    return unescape(markup) or None
+
+
 class _Element:
-    """``start`` and ``end`` bound the content; ``parents`` are positions in the page's list."""
+    """``start`` and ``end`` bound the content; ``parent`` is a position in the page's list, or -1."""
 
-    __slots__ = ("tag", "attributes", "start", "end", "parents")
+    __slots__ = ("tag", "attributes", "start", "end", "parent")
 
-    def __init__(self, tag: str, attributes: dict[str, str], start: int, end: int, parents: tuple[int, ...]) -> None:
-        self.tag, self.attributes, self.start, self.end, self.parents = tag, attributes, start, end, parents
+    def __init__(self, tag: str, attributes: dict[str, str], start: int, end: int, parent: int) -> None:
+        self.tag, self.attributes, self.start, self.end, self.parent = tag, attributes, start, end, parent
 
     def has(self, cls: str) -> bool:
         """A one-word class is one of the element's, a longer one is all of them."""
         own = self.attributes.get("class", "")
         return own == cls or (" " not in cls and cls in own.split())
 
+    def first_text(self, html: str) -> str:
+        """The text before the first element inside."""
+        cut = html.find("<", self.start, self.end)
+        return unescape(html[self.start : self.end if cut < 0 else cut])
+
 
 def _elements(html: str) -> list[_Element]:
-    """Elements of the page in document order, with what encloses them."""
+    """Elements of the page in document order, with what encloses them.
+
+    Cells and rows may lack their end tag: the next one ends them.
+    """
     found: list[_Element] = []
-    open_: tuple[int, ...] = ()
+    open_: list[int] = []
+
+    def close(tags: set[str], at: int, whole: bool) -> None:
+        """End the innermost of ``tags`` with all inside; all of them up to the table if ``whole``."""
+        depth = last = len(open_)
+        while depth:
+            depth -= 1
+            tag = found[open_[depth]].tag
+            if tag in tags:
+                last = depth
+                if not whole:
+                    break
+            elif tag == "table" and not tags.isdisjoint(_ENDS):
+                break
+        for i in open_[last:]:
+            found[i].end = at
+        del open_[last:]
+
     for token in _TOKEN.finditer(html):
         closing, tag, attributes = token.groups()
         if tag is None:
             continue
         tag = tag.lower()
-        if not closing:
-            found.append(_Element(tag, _attributes(attributes), token.end(), len(html), open_))
-            if not attributes.endswith("/"):
-                open_ += (len(found) - 1,)
+        if closing:
+            close({tag}, token.start(), False)
             continue
-        for depth in range(len(open_) - 1, -1, -1):
-            if found[open_[depth]].tag == tag:
-                for i in open_[depth:]:
-                    found[i].end = token.start()
-                open_ = open_[:depth]
-                break
+        if tag in _ENDS:
+            close(_ENDS[tag], token.start(), True)
+        found.append(_Element(tag, _attributes(attributes), token.end(), len(html), open_[-1] if open_ else -1))
+        if not attributes.endswith("/"):
+            open_.append(len(found) - 1)
     return found
 
 
 def _listings(html: str) -> list[tuple]:
     """``position, title, date, spans, shipping`` of every item of a page but the first."""
-    elements = _elements(html)
-    places = [i for i, e in enumerate(elements) if e.tag == "div" and e.has(ITEM_CLASS)]
-    number = {place: n for n, place in enumerate(places)}
-    items = [{"title": None, "date": None, "spans": [], "shipping": None, "price": None} for _ in places]
-    for i, e in enumerate(elements):
-        item = next((items[number[p]] for p in reversed(e.parents) if p in number), None)
+    items: list[dict] = []
+    around: list[tuple] = []  # per element: the item, price box and date box it lies in
+    for i, e in enumerate(_elements(html)):
+        item, price, date = around[e.parent] if e.parent >= 0 else (None, None, None)
+        if e.tag == "div" and e.has(ITEM_CLASS):
+            items.append({"title": None, "date": None, "spans": [], "shipping": None, "price": None})
+            around.append((items[-1], None, date))
+            continue
+        around.append((item, i if e.tag == "span" and e.has(PRICE_BOX_CLASS) else price, date or e.has(DATE_BOX_CLASS)))
         if item is None or e.tag not in ("div", "span"):
             continue
-
-        def text() -> str:
-            return _plain_text(html[e.start : e.end])
-
+        content = html[e.start : e.end]
         if e.tag == "div" and e.has(TITLE_CLASS):
-            item["title"] = text() if item["title"] is None else item["title"]
+            item["title"] = content if item["title"] is None else item["title"]
         elif e.tag == "span" and e.has(PRICE_BOX_CLASS):
             item["price"] = i if item["price"] is None else item["price"]
         elif e.tag == "span" and e.has(SHIPPING_CLASS):
-            item["shipping"] = text() if item["shipping"] is None else item["shipping"]
-        elif e.tag == "span" and item["price"] in e.parents and "class" in e.attributes:
-            item["spans"].append({"cls": e.attributes["class"], "text": text()})
-        elif e.tag == "span" and e.has(DATE_CLASS) and item["date"] is None:
-            if any(elements[p].has(DATE_BOX_CLASS) for p in e.parents):
-                item["date"] = text()
-    return [(n, x["title"], x["date"], x["spans"], x["shipping"]) for n, x in enumerate(items) if n]
+            item["shipping"] = _plain_text(content) if item["shipping"] is None else item["shipping"]
+        elif e.tag == "span" and price is not None and price == item["price"] and "class" in e.attributes:
+            item["spans"].append({"cls": e.attributes["class"], "text": _plain_text(content)})
+        elif e.tag == "span" and e.has(DATE_CLASS) and item["date"] is None and date:
+            item["date"] = _plain_text(content)
+    return [(n, _only_text(x["title"] or ""), x["date"], x["spans"], x["shipping"]) for n, x in enumerate(items) if n]
 
 
 def listing_items(pages: DataFrame) -> DataFrame:
-    """``page_id, html`` to the raw texts of each item; item 0 of a page is skipped."""
+    """``page_id, html`` to the raw texts of each item; item 0 of a page is skipped.
+
+    A title with markup beside its text counts as missing.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,8 +161,8 @@ def listing_items(pages: DataFrame) -> DataFrame:
 
 
 def listing_rows(pages: DataFrame) -> DataFrame:
-    """Items with typed values: day, sale type, price and shipping."""
-    return listing_items(pages).select(
+    """Items that have a title, with typed values: day, sale type, price and shipping."""
+    return listing_items(pages).filter(F.col("title").isNotNull()).select(
         "page_id",
         "position",
         "title",
@@ -168,8 +205,9 @@ def _in_region(html: str, container: tuple[str, str, str], wanted: list[tuple[st
         return e.tag == tag and (attribute is None or value in e.attributes.get(attribute, "").split())
 
     elements = _elements(html)
-    region = next((i for i, e in enumerate(elements) if matches(e, container)), None)
-    inside = [e for e in elements if region is not None and region in e.parents]
+    region = next((e for e in elements if matches(e, container)), None)
+    inside = [e for e in elements if region is not None and region.start <= e.start < region.end]
+    inside = [e for e in inside if e is not region]
     return [[read(e, html) for e in inside if matches(e, want)] for want in wanted]
 
 
@@ -207,15 +245,16 @@ def deck_links(pages: DataFrame, mark: str = DECK_MARK) -> DataFrame:
 def deck_cards(pages: DataFrame) -> DataFrame:
     """Cards of a deck page: names and counts are parallel lists.
 
-    Counts that are no integers are left out first; a pair needs both sides, so
-    the longer list is cut to the shorter one.
+    Of a cell or link the text before any element inside counts. Counts that are
+    no integers are left out first; a pair needs both sides, so the longer list
+    is cut to the shorter one.
     """
     keys = [c for c in pages.columns if c != "html"]
     lists = _page_lists(
         pages,
         ("div", "id", "tab-paper"),
         [("a", "rel", "popover"), ("td", "class", "text-right")],
-        lambda e, html: _plain_text(html[e.start : e.end]),
+        lambda e, html: e.first_text(html),
         "names array<string>, counts array<string>",
     )
     whole = F.filter(F.transform("counts", lambda c: F.trim(c).try_cast("int")), lambda c: c.isNotNull())

@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from marketloom import sinks
+from marketloom.operators import incremental
 from marketloom.sources import documents, files, markup
 
 D = dt.date
@@ -69,7 +70,11 @@ def test_price_classes(spark):
 def test_broken_markup(spark):
     assert _listings(spark, "") == []
     html = ITEM + '<div class="s-item__info clearfix"><div class="s-item__title">a &lt;b&gt; <i>c</i></div>'
-    assert _listings(spark, html) == [(1, 1, "a <b> c", None, None, None, 0.0)]
+    assert _listings(spark, html) == []  # markup beside the title's text
+    html = html.replace("a &lt;b&gt; <i>c</i>", "<b><i>a &lt;b&gt;</i></b>")
+    assert _listings(spark, html) == [(1, 1, "a <b>", None, None, None, 0.0)]
+    html = html.replace("<b><i>a &lt;b&gt;</i></b>", "<i>a</i><i>b</i>")
+    assert _listings(spark, html) == []
 
 
 def test_deck_page(spark):
@@ -81,6 +86,21 @@ def test_deck_page(spark):
     assert rows(markup.deck_cards(pages)) == [("d1", "B", 2), ("d1", "One & Two", 4)]
 
 
+def test_deck_page_without_end_tags(spark):
+    html = """<div id="tab-paper"><table><tr><td class="text-right">4<td><a rel="popover">A</a><td class="text-right">$ 3
+      <tr><td class="text-right"> 2 <b>x</b><td><a rel="popover">B<i>!</i></a><td class="text-right"><b>9</b></table></div>"""
+    pages = spark.createDataFrame([("d", html)], "deck string, html string")
+    assert rows(markup.deck_cards(pages)) == [("d", "A", 4), ("d", "B", 2)]
+    wide = "<table>" + '<td class="text-right">1' * 20_000 + "</table>"
+    found = markup._elements(wide)
+    assert len(found) == 20_001 and {e.parent for e in found[1:]} == {0}
+
+
+def test_new_rows_knows_null_keys(spark):
+    a = spark.createDataFrame([(1, "a"), (None, "b")], "id int, v string")
+    assert rows(incremental.new_rows(a, a.filter("v = 'b'"), ["id"])) == [(1, "a")]
+
+
 def test_deck_links(spark):
     html = """<a href="/deck/0">x</a><table class="a table-tournament"><table><a href='/Deck/1'>x</a></table>
       <a href="/player/2">x</a><a>x</a><a href=/deck/3>x</a></table><a href="/deck/4">x</a>"""
