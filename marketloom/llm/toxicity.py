@@ -31,6 +31,8 @@ WEIGHED = 1024
 PRIOR = 0.1  # share of toxic documents where no labels say otherwise
 THRESHOLD = 0.7
 CACHED = 300_000
+#: Of two training texts this similar one is learnt from; told by so many min-hashes, to about 0.025.
+NEAR, MINIMA = 0.8, 256
 STRIP = b".,;:!?*%&#$|()[]\"'"
 
 
@@ -67,20 +69,39 @@ class Features:
         return np.fromiter(found, np.int32, len(found))
 
 
-def _sampled(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """A bounded sample of rows (toxic, text) as features; the text never reaches the driver."""
+#: One random number for each feature, and the factors and offsets that make many hashes of it.
+_RANDOM = np.random.default_rng(11)
+_MIXED = _RANDOM.integers(1 << 32, size=1 << BITS, dtype=np.uint32)
+_FACTORS = _RANDOM.integers(1 << 32, size=(MINIMA, 1), dtype=np.uint32) | np.uint32(1)
+_OFFSETS = _RANDOM.integers(1 << 32, size=(MINIMA, 1), dtype=np.uint32)
+
+
+def _minima(features: np.ndarray) -> np.ndarray:
+    """The min-hashes of a set of features; two sets share about as many of them as their similarity."""
+    least = np.full(MINIMA, (1 << 32) - 1, np.uint32)
+    for at in range(0, len(features), 1024):
+        mixed = _MIXED[features[at : at + 1024]][None, :] * _FACTORS + _OFFSETS
+        np.minimum(least, mixed.min(1), out=least)
+    return least
+
+
+def _sampled(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """A bounded sample of rows (toxic, text) as features and their min-hashes; the text never reaches the driver."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
         for batch in batches:
             sets = [np.sort(make.of(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            minima = pa.array([_minima(s).astype("<u4").tobytes() for s in sets], pa.binary())
             rng = np.random.default_rng(7)
             sets = [s if len(s) <= SEEN else np.sort(rng.choice(s, SEEN, replace=False)) for s in sets]
             cells = pa.array([s.astype("<i4").tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), cells], names=["toxic", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), cells, minima], names=["toxic", "f", "m"])
 
-    got = rows.mapInArrow(features, "toxic int, f binary").collect()
-    return [(r.toxic, np.frombuffer(r.f, "<i4")) for r in got]
+    got = rows.mapInArrow(features, "toxic int, f binary, m binary").collect()
+    # In an order of their own, so that the same rows stand for their copies on each run.
+    got.sort(key=lambda r: (len(r.f), r.m, r.f))
+    return [(r.toxic, np.frombuffer(r.f, "<i4"), np.frombuffer(r.m, "<u4")) for r in got]
 
 
 class Bag:
@@ -151,14 +172,21 @@ def _telling(positive: list[np.ndarray], rest: list[np.ndarray]) -> np.ndarray:
     return order[(p[order] >= 3) & (z[order] > 2)]
 
 
-def _unlike(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """One of each group of near copies (by two min-hashes): copies would make chance words telling."""
-    kept = {}
-    for r in rows:
-        if len(r):
-            mixed = r.astype(np.uint64)[None, :] * np.array([[2654435761], [2246822519]], np.uint64) % np.uint64(1 << 32)
-            kept.setdefault(tuple(mixed.min(1).tolist()), r)
-    return list(kept.values())
+def _unlike(minima: list[np.ndarray]) -> list[int]:
+    """Positions of one of each group of near copies and of every other row: copies would make chance words telling.
+
+    A row goes only if it is as similar as ``NEAR`` to one that stays.
+    """
+    stay = np.empty((len(minima), MINIMA), np.uint32)
+    kept: list[int] = []
+    for i, row in enumerate(minima):
+        before = stay[: len(kept)]
+        # A few of the hashes rule out nearly all pairs.
+        close = before[np.count_nonzero(before[:, :32] == row[:32], axis=1) >= 16 * NEAR]
+        if not (np.count_nonzero(close == row, axis=1) >= NEAR * MINIMA).any():
+            stay[len(kept)] = row
+            kept.append(i)
+    return kept
 
 
 def _shift(z: np.ndarray, prior: float) -> float:
@@ -198,7 +226,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # One row of each identifier, so that the bound holds where identifiers repeat.
     both = positives.unionByName(unlabelled).groupBy("i", "toxic").agg(F.min("text").alias("text"))
     got = _sampled(both.select("toxic", "text"))
-    p, u = _unlike([f for t, f in got if t == 1]), _unlike([f for t, f in got if t != 1])
+    confirmed, others = [r for r in got if r[0] == 1], [r for r in got if r[0] != 1]
+    p, u = ([rows[i][1] for i in _unlike([r[2] for r in rows])] for rows in (confirmed, others))
     if not p:
         return {}, float(np.log(prior / (1 - prior)))
     chosen = np.sort(_telling(p, u))
@@ -207,7 +236,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first, _ = fit_nnpu(cut(p), cut(u), len(chosen), prior, sparse=0.012 / len(p) ** 0.5)
     chosen = chosen[np.abs(first) > 0.05]
     w, b = fit_nnpu(cut(p), cut(u), len(chosen), prior, sparse=2e-6)
-    return {int(f): float(x) for f, x in zip(chosen, w)}, b + _shift(Bag(cut(u), len(chosen)).margins(w, b), prior)
+    # The prior is a share of all texts, copies among them.
+    every = Bag(cut([r[1] for r in others]), len(chosen)).margins(w, b)
+    return {int(f): float(x) for f, x in zip(chosen, w)}, b + _shift(every, prior)
 
 
 def _scorer(weights: dict[int, float], bias: float, field: int | None):

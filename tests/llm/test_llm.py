@@ -337,6 +337,19 @@ def test_toxicity(judged):
     assert toxicity.score_toxicity(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_toxicity_drops_only_near_copies():
+    rng = np.random.default_rng(4)
+    # Long texts over a small stock of words: they share their common features, so few minima collide by chance.
+    rows = [np.sort(rng.choice(1500, rng.integers(300, 700), replace=False)) for _ in range(300)]
+    copies = [np.unique(np.append(r[12:], rng.integers(200_000, 250_000, 5))) for r in rows[:40]]
+    alike = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert max(alike(a, b) for i, a in enumerate(rows) for b in rows[:i]) < 0.6
+    kept = toxicity._unlike([toxicity._minima(r) for r in rows + copies + rows[:20]])
+    assert kept == list(range(300))
+    none = np.empty(0, np.int64)
+    assert toxicity._unlike([toxicity._minima(none)] * 2) == [0] and toxicity._unlike([]) == []
+
+
 def test_quality_classifier(judged):
     docs, labels = judged
     got = {r.doc_id: r for r in quality_classifier.classify_quality(docs, labels).collect()}
