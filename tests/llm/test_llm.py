@@ -238,6 +238,20 @@ def test_pii_adds_loose_formats(spark):
     assert [r.p for r in spark.sql("VALUES ('10,0,0,1'), ('1,234,567,890')").select(pii._possible("ip", F.col("col1")).alias("p")).collect()] == [True, False]
 
 
+def test_pii_samples_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLED_SPANS", 1000)
+    hot = (-1, " ".join(f"n {10_000_000 + 7919 * i}," for i in range(3000)))
+    rest = [(i, f"write a{i}@b.com or call +1 (438) 555-{1000 + i} now") for i in range(200)]
+    table = spark.createDataFrame([hot, *rest], "doc_id long, text string").coalesce(1)
+    model = pii.train(table)  # the first 1,000 candidates are all of one document
+    assert model is not None and set(model.thresholds) == {0, 3}
+    spans = [(i, k, s) for i, k, n in ((1, 0, 60), (2, 3, 5000)) for s in range(n)]
+    spread = lambda n: {tuple(r) for r in pii._spread(spark.createDataFrame(spans, "i long, kind int, start int").repartition(n), 400).collect()}
+    got = spread(1)
+    assert got == spread(7) and sum(k == 0 for _, k, _ in got) == 60 and 280 < len(got) - 60 < 400
+    assert max(s for _, k, s in got if k == 3) > 4000
+
+
 def test_shards(spark, docs, empty):
     rows = [(i, "x" * (i % 90)) for i in range(800)] + [(5000, "same text")] * 300 + [(6000, "y" * 5000)]
     got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), limit=1000).collect()
