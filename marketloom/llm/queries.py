@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import exact_dedup, jaccard, mixing, packing, pii, quality_classifier, rules, sharding, toxicity, url_filter
+from marketloom.llm import (
+    dual_tree,
+    exact_dedup,
+    jaccard,
+    licenses,
+    mixing,
+    packing,
+    periodic,
+    pii,
+    quality_classifier,
+    rules,
+    sharding,
+    toxicity,
+    url_filter,
+)
 from marketloom.llm.common import table
 from marketloom.session import tune
 
@@ -53,12 +67,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.planted(table(tune(spark), sf_dir, "documents"))
+    return periodic.run_digests(periodic.find_runs(docs))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.ranked_search(table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(tune(spark), sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix, op2_quality, op3_url_filter, op4_quality_rules, op5_ngram_jaccard,
-        op6_pii, op7_shard, op8_pack, op9_exact_dedup, op10_toxicity,
+        op6_pii, op7_shard, op8_pack, op9_exact_dedup, op10_toxicity, op11_runs, op12_search, op13_licenses,
     )
 }
 
-ORACLES = {"op3_url_filter": url_filter.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op3_url_filter": url_filter.ORACLE,
+    "op9_exact_dedup": exact_dedup.ORACLE,
+    "op12_search": dual_tree.ORACLE,
+    "op13_licenses": licenses.ORACLE,
+}
