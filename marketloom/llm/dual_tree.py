@@ -166,24 +166,22 @@ def search(tree: Node, levels: list[np.ndarray], names: list, best: Best) -> Non
     places = np.empty(len(names), np.int64)
     places[order] = np.arange(len(names))
 
-    def visit(node: Node, level: int, columns: np.ndarray) -> None:
+    pairs = [(tree, len(levels) - 1, np.arange(levels[-1].shape[1]))]
+    while pairs:
+        node, level, columns = pairs.pop()
         bounds = node.most @ levels[level][np.ix_(node.terms, columns)]
-        weakest = best.kth[node.items].min()
-        stay = bounds >= weakest
+        stay = bounds >= best.kth[node.items].min()
         if not stay.any():
-            return
+            continue
         columns, bounds = columns[stay], bounds[stay]
         if not level and not node.below:
             best.add(int(node.items[0]), bounds, columns, names, places)
-            return
+            continue
         if level:
             columns = columns[np.argsort(-bounds, kind="stable")]  # likely ones first
             columns = (columns[:, None] * FAN + np.arange(FAN)).ravel()
             columns = columns[columns < levels[level - 1].shape[1]]
-        for below in node.below or [node]:
-            visit(below, max(0, level - 1), columns)
-
-    visit(tree, len(levels) - 1, np.arange(levels[-1].shape[1]))
+        pairs += [(below, max(0, level - 1), columns) for below in reversed(node.below or [node])]
 
 
 def _impacts(batch: pa.RecordBatch, weights: np.ndarray, n_docs: int, all_terms: int) -> np.ndarray:
