@@ -41,6 +41,11 @@ def in_range(rows: DataFrame, stored: DataFrame, as_of: str, key: str = "cardnam
     return bounded.filter(F.col(day).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi", "_slack")
 
 
+def is_stop(day: Column, lo: Column, slack: Column) -> Column:
+    """Whether reading a page in order ends here: the day is before ``lo``, by no more than ``slack`` days."""
+    return (day < lo) & (F.date_add(day, slack) >= lo)
+
+
 def until_stop(rows: DataFrame, page: list[str], position: str, day: Column, lo: Column, hi: Column, slack: Column) -> DataFrame:
     """Wanted rows of a page read in order.
 
@@ -48,8 +53,7 @@ def until_stop(rows: DataFrame, page: list[str], position: str, day: Column, lo:
     ``slack`` days is stray and only skipped. The end of each page is one
     minimum per page, combined before the shuffle.
     """
-    stops = (day < lo) & (F.date_add(day, slack) >= lo)
-    ends = rows.filter(stops).groupBy(*page).agg(F.min(position).alias("_end"))
+    ends = rows.filter(is_stop(day, lo, slack)).groupBy(*page).agg(F.min(position).alias("_end"))
     kept = rows.join(ends, page, "left").filter(F.col("_end").isNull() | (F.col(position) < F.col("_end")))
     return kept.filter((day >= lo) & (day <= hi)).drop("_end")
 

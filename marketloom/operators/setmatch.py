@@ -41,14 +41,28 @@ def candidates(cards: DataFrame, sets: DataFrame, name: str = "name") -> DataFra
 def with_set(listings: DataFrame, per_card: DataFrame) -> DataFrame:
     """Add ``cardset``. The sets of a card arrive as short arrays, so a listing
     stays one row and meets no pairs."""
+    return add_set(listings, stored(per_card, "card-sets"))
+
+
+def add_set(listings: DataFrame, per_card: DataFrame) -> DataFrame:
+    """``with_set`` for a stored ``per_card``."""
     lists = ["by_alias", "by_code", "by_name"]
-    known = listings.join(stored(per_card, "card-sets"), "cardname", "left")
+    known = listings.join(per_card, "cardname", "left")
     code = tagger.set_code(F.lower("title"), F.lower("cardname"), *[F.col(c) for c in lists])
     return known.withColumn("cardset", code).drop(*lists)
 
 
+def rare_cards(cards: DataFrame, codes: DataFrame) -> DataFrame:
+    """``cardname`` of the cards with a rare printing in one of the sets ``codes``, marked."""
+    return rare_in(cards, codes).select(F.col("name").alias("cardname"), F.lit(True).alias("_rare"))
+
+
 def with_rarity(listings: DataFrame, cards: DataFrame, codes: DataFrame) -> DataFrame:
     """Add ``rarity``: ``rare`` if one of the sets ``codes`` has a rare printing of the card."""
-    rare = rare_in(cards, codes).withColumnRenamed("name", "cardname")
-    marked = listings.join(stored(rare.withColumn("_rare", F.lit(True)), "rare"), "cardname", "left")
+    return add_rarity(listings, stored(rare_cards(cards, codes), "rare"))
+
+
+def add_rarity(listings: DataFrame, rare: DataFrame) -> DataFrame:
+    """``with_rarity`` for stored ``rare_cards``."""
+    marked = listings.join(rare, "cardname", "left")
     return marked.withColumn("rarity", scalars.rarity_flag(F.col("_rare"))).drop("_rare")

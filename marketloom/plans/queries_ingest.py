@@ -117,17 +117,21 @@ def src10(m):
 
 # --- HTML --------------------------------------------------------------------------
 
-_ITEM = """concat('<li><div class="s-item__info clearfix"><a href="#"><div class="s-item__title">', {title},
-  '</div></a><div class="s-item__title--tag"><span class="POSITIVE">Sold  ', date_format({day},'MMM d, yyyy'),
-  '</span></div><br><span class="s-item__price">', {price}, '</span>', {shipping}, '</div></li>')"""
-_FIRST_PRICE = """CASE l_linenumber
+def page_item(title: str, day: str, price: str, shipping: str) -> str:
+    """An item of a result page, as an SQL expression of those of its parts."""
+    return f"""concat('<li><div class="s-item__info clearfix"><a href="#"><div class="s-item__title">', {title},
+      '</div></a><div class="s-item__title--tag"><span class="POSITIVE">Sold  ', date_format({day},'MMM d, yyyy'),
+      '</span></div><br><span class="s-item__price">', {price}, '</span>', {shipping}, '</div></li>')"""
+
+
+FIRST_PRICE = """CASE l_linenumber
   WHEN 1 THEN concat('<span class="STRIKETHROUGH POSITIVE ITALIC">$', format_number(l_extendedprice,2), '</span>')
   WHEN 2 THEN concat('<span class="POSITIVE ITALIC">$', format_number(l_extendedprice,2), '</span>')
   WHEN 3 THEN concat('<span class="STRIKETHROUGH POSITIVE">$', format_number(l_extendedprice,2), '</span>')
   WHEN 6 THEN '<span class="POSITIVE">$1.00</span> to <span class="POSITIVE">$2.00</span>'
   WHEN 7 THEN '<span class="POSITIVE">$1.00 to $2.00</span>'
   ELSE concat('<span class="POSITIVE">$', format_number(l_extendedprice,2), '</span>') END"""
-_SHIPPING = """CASE WHEN l_linenumber=3 THEN '' WHEN l_linenumber%2=0
+SHIPPING = """CASE WHEN l_linenumber=3 THEN '' WHEN l_linenumber%2=0
     THEN '<span class="s-item__shipping s-item__logisticsCost">Free shipping</span>'
   ELSE concat('<span class="s-item__shipping s-item__logisticsCost">+$', format_number(l_quantity,2), ' shipping</span>') END"""
 
@@ -136,9 +140,9 @@ def listing_pages(m: Market) -> DataFrame:
     """A page of three items per lineitem; the first one is never a listing."""
     plain = "concat('<span class=\"POSITIVE\">$', format_number(l_quantity,2), '</span>')"
     items = [
-        _ITEM.format(title="'Shop on us'", day="l_shipdate", price=plain, shipping="''"),
-        _ITEM.format(title="concat(p_name,' &amp; ',p_brand)", day="l_shipdate", price=_FIRST_PRICE, shipping=_SHIPPING),
-        _ITEM.format(title="upper(p_name)", day="date_add(CAST(l_shipdate AS DATE),1)", price=plain, shipping="''"),
+        page_item(title="'Shop on us'", day="l_shipdate", price=plain, shipping="''"),
+        page_item(title="concat(p_name,' &amp; ',p_brand)", day="l_shipdate", price=FIRST_PRICE, shipping=SHIPPING),
+        page_item(title="upper(p_name)", day="date_add(CAST(l_shipdate AS DATE),1)", price=plain, shipping="''"),
     ]
     html = "concat('<html><body><ul>'," + ",".join(items) + ",'</ul></body></html>')"
     return m.derive(

@@ -264,7 +264,7 @@ def j13(m):
     return names.rarity_of(m["cards"].select("name").distinct(), m["cards"], codes)
 
 
-_SET_HITS = """
+SET_HITS = """
     SELECT l.listing_id, l.title, l.cardname, k.code,
       CASE WHEN contains(lower(l.title),lower(s.mcmname)) THEN 0
            WHEN contains(lower(l.title),lower(k.code)) AND NOT contains(lower(l.cardname),lower(k.code)) THEN 1
@@ -280,14 +280,14 @@ _SET_HITS = """
           SELECT listing_id, title, cardname, code AS cardset FROM (
             SELECT *, row_number() OVER (PARTITION BY listing_id, title, cardname
               ORDER BY kind, length(CASE kind WHEN 0 THEN mcmname WHEN 1 THEN code ELSE name END) DESC, code) AS rn
-            FROM ({_SET_HITS}) h WHERE kind IS NOT NULL) r WHERE rn=1) b
+            FROM ({SET_HITS}) h WHERE kind IS NOT NULL) r WHERE rn=1) b
           ON b.listing_id=l.listing_id AND b.title=l.title AND b.cardname=l.cardname""",
 )
 def j14(m):
-    return setmatch.with_set(m.listings, _sets_per_card(m)).select("listing_id", "title", "cardset")
+    return setmatch.with_set(m.listings, sets_per_card(m)).select("listing_id", "title", "cardset")
 
 
-def _sets_per_card(m: Market) -> DataFrame:
+def sets_per_card(m: Market) -> DataFrame:
     """Two-faced cards are listed under their face name."""
     cards = m["cards"].withColumn("listed", F.coalesce("facename", "name"))
     return setmatch.candidates(cards, m["sets"], "listed")

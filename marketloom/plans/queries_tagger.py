@@ -15,17 +15,17 @@ from marketloom.plans.registry import query
 _TITLES = "(SELECT listing_id, title, lower(title) AS t, lower(cardname) AS n FROM {listings}) x"
 
 
-def _text(s: str) -> str:
+def sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _has(word: str, guarded: bool, guard: str = "NOT ") -> str:
-    hit = f"contains(t,{_text(word.lower())})"
-    return f"({hit} AND {guard}contains(n,{_text(word.lower())}))" if guarded else hit
+def has_word(word: str, guarded: bool, guard: str = "NOT ") -> str:
+    hit = f"contains(t,{sql_text(word.lower())})"
+    return f"({hit} AND {guard}contains(n,{sql_text(word.lower())}))" if guarded else hit
 
 
-def _first(words: list[tuple[str, str]], guarded: bool, otherwise: str = "NULL") -> str:
-    cases = " ".join(f"WHEN {_has(w, guarded)} THEN {v}" for v, w in words)
+def first_word(words: list[tuple[str, str]], guarded: bool, otherwise: str = "NULL") -> str:
+    cases = " ".join(f"WHEN {has_word(w, guarded)} THEN {v}" for v, w in words)
     return f"CASE {cases} ELSE {otherwise} END"
 
 
@@ -39,19 +39,19 @@ def _tag_query(name: str, column: str, expression: Callable[[Column, Column], Co
     query(name, f"SELECT listing_id, title, {sql} AS {column} FROM {_TITLES}")(run)
 
 
-_tag_query("tag_lot", "lotis", tagger.lot, " OR ".join(_has(w, True) for w in tagger.LOT_WORDS).join("()"))
+_tag_query("tag_lot", "lotis", tagger.lot, " OR ".join(has_word(w, True) for w in tagger.LOT_WORDS).join("()"))
 _tag_query(
     "tag_quantity",
     "cardquantity",
     lambda t, n: tagger.quantity(t),
-    _first(
+    first_word(
         [(str(n), p.format(n=n)) for n in range(tagger.LARGEST_QUANTITY, 0, -1) for p in tagger.QUANTITY_PATTERNS],
         False,
         "CASE WHEN contains(t,'playset') THEN 4 END",
     ),
 )
 for _word in ("foil", "emblem", "token"):
-    _tag_query(f"tag_{_word}", f"is{_word}", lambda t, n, w=_word: tagger.is_word_outside_name(t, n, w), _has(_word, True))
+    _tag_query(f"tag_{_word}", f"is{_word}", lambda t, n, w=_word: tagger.is_word_outside_name(t, n, w), has_word(_word, True))
 _tag_query(
     "tag_box",
     "isboosterbox",
@@ -61,14 +61,14 @@ _tag_query(
 _tag_query(
     "tag_commander_deck", "iscommanderdeck", lambda t, n: tagger.commander_deck(t), "contains(t,'commander deck')"
 )
-_tag_query("tag_special", "cardspecial", tagger.special, _first([(_text(w), w) for w in tagger.SPECIAL_WORDS], True))
-_tag_query("tag_language", "cardlanguage", lambda t, n: tagger.language(t), _first([(_text(w), w) for w in tagger.LANGUAGES], False))
-_tag_query("tag_condition", "cardcondition", lambda t, n: tagger.condition(t), _first([(_text(w), w) for w in tagger.CONDITIONS], False))
+_tag_query("tag_special", "cardspecial", tagger.special, first_word([(sql_text(w), w) for w in tagger.SPECIAL_WORDS], True))
+_tag_query("tag_language", "cardlanguage", lambda t, n: tagger.language(t), first_word([(sql_text(w), w) for w in tagger.LANGUAGES], False))
+_tag_query("tag_condition", "cardcondition", lambda t, n: tagger.condition(t), first_word([(sql_text(w), w) for w in tagger.CONDITIONS], False))
 _tag_query(
     "tag_graded",
     "isgraded",
     tagger.graded,
-    "CASE WHEN " + " OR ".join(_has(w, True, "") for w in tagger.GRADE_WORDS) + " THEN TRUE END",
+    "CASE WHEN " + " OR ".join(has_word(w, True, "") for w in tagger.GRADE_WORDS) + " THEN TRUE END",
 )
 _tag_query(
     "tag_graded_strict",
@@ -96,16 +96,16 @@ def tag_rarity(m):
 
 @query(
     "tag_all",
-    f"""SELECT cardname, COUNT(*) AS n, COUNT(*) FILTER (WHERE {_has('foil', True)}) AS n_foil,
-          COUNT(*) FILTER (WHERE {' OR '.join(_has(w, True) for w in tagger.LOT_WORDS)}) AS n_lot,
-          COUNT({_first([(_text(w), w) for w in tagger.SPECIAL_WORDS], True)}) AS n_special,
-          COUNT({_first([(_text(w), w) for w in tagger.CONDITIONS], False)}) AS n_condition,
-          SUM({_first([(str(n), p.format(n=n)) for n in range(tagger.LARGEST_QUANTITY, 0, -1) for p in tagger.QUANTITY_PATTERNS], False, "CASE WHEN contains(t,'playset') THEN 4 END")}) AS copies,
-          COUNT({_first([(_text(w), w) for w in tagger.LANGUAGES], False)}) AS n_language,
-          COUNT(*) FILTER (WHERE {' OR '.join(_has(w, True, '') for w in tagger.GRADE_WORDS)}) AS n_graded,
-          COUNT(*) FILTER (WHERE {_has('emblem', True)}) AS n_emblem, COUNT(*) FILTER (WHERE {_has('token', True)}) AS n_token,
-          COUNT(*) FILTER (WHERE {_has('booster box', False)} OR {_has('boosterbox', False)}) AS n_box,
-          COUNT(*) FILTER (WHERE {_has('commander deck', False)}) AS n_commander_deck,
+    f"""SELECT cardname, COUNT(*) AS n, COUNT(*) FILTER (WHERE {has_word('foil', True)}) AS n_foil,
+          COUNT(*) FILTER (WHERE {' OR '.join(has_word(w, True) for w in tagger.LOT_WORDS)}) AS n_lot,
+          COUNT({first_word([(sql_text(w), w) for w in tagger.SPECIAL_WORDS], True)}) AS n_special,
+          COUNT({first_word([(sql_text(w), w) for w in tagger.CONDITIONS], False)}) AS n_condition,
+          SUM({first_word([(str(n), p.format(n=n)) for n in range(tagger.LARGEST_QUANTITY, 0, -1) for p in tagger.QUANTITY_PATTERNS], False, "CASE WHEN contains(t,'playset') THEN 4 END")}) AS copies,
+          COUNT({first_word([(sql_text(w), w) for w in tagger.LANGUAGES], False)}) AS n_language,
+          COUNT(*) FILTER (WHERE {' OR '.join(has_word(w, True, '') for w in tagger.GRADE_WORDS)}) AS n_graded,
+          COUNT(*) FILTER (WHERE {has_word('emblem', True)}) AS n_emblem, COUNT(*) FILTER (WHERE {has_word('token', True)}) AS n_token,
+          COUNT(*) FILTER (WHERE {has_word('booster box', False)} OR {has_word('boosterbox', False)}) AS n_box,
+          COUNT(*) FILTER (WHERE {has_word('commander deck', False)}) AS n_commander_deck,
           COUNT(*) FILTER (WHERE FALSE) AS n_possibly_bad, COUNT(*) FILTER (WHERE FALSE) AS n_banned
         FROM (SELECT cardname, lower(title) AS t, lower(cardname) AS n FROM {{listings}}) x WHERE contains(t,n) GROUP BY cardname""",
 )

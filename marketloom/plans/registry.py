@@ -37,6 +37,7 @@ def load() -> dict[str, Query]:
     """All queries; the modules register on import."""
     from marketloom.plans import (  # noqa: F401
         queries_ingest,
+        queries_jobs,
         queries_market,
         queries_model,
         queries_scalar,

@@ -23,10 +23,13 @@ SHIPPING_CLASS = "s-item__shipping s-item__logisticsCost"
 DECK_MARK = "/deck/"
 # End of fixed values.
 
-LISTING_SCHEMA = (
-    "page_id bigint, position int, title string, date_text string, "
-    "spans array<struct<cls:string,text:string>>, shipping_text string"
-)
+LISTING_FIELDS = {
+    "position": "int",
+    "title": "string",
+    "date_text": "string",
+    "spans": "array<struct<cls:string,text:string>>",
+    "shipping_text": "string",
+}
 
 
 # One scan of a page visits only these tags; comments and scripts are stepped over.
@@ -147,30 +150,41 @@ def _listings(html: str) -> list[tuple]:
 
 
 def listing_items(pages: DataFrame) -> DataFrame:
-    """``page_id, html`` to the raw texts of each item; item 0 of a page is skipped.
+    """The raw texts of each item of ``html``, beside the page's other columns; item 0 of a page is skipped.
 
     A title with markup beside its text counts as missing.
     """
+    types = {f.name: f.dataType.simpleString() for f in pages.schema.fields if f.name != "html"}
+    keys = list(types)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(page, *item) for page, html in zip(batch["page_id"], batch["html"]) for item in _listings(html or "")]
-            yield pd.DataFrame(rows, columns=["page_id", "position", "title", "date_text", "spans", "shipping_text"])
+            found = [_listings(html or "") for html in batch["html"]]
+            out = batch[keys].loc[batch.index.repeat([len(x) for x in found])].reset_index(drop=True)
+            columns = list(zip(*[item for items in found for item in items])) or [()] * len(LISTING_FIELDS)
+            for name, column in zip(LISTING_FIELDS, columns):
+                out[name] = pd.Series(list(column), dtype="int32" if name == "position" else "object")
+            yield out
+
+    schema = ", ".join(f"`{k}` {t}" for k, t in (types | LISTING_FIELDS).items())
+    return pages.select(*keys, "html").mapInPandas(parse, schema)
 
-    return pages.select("page_id", "html").mapInPandas(parse, LISTING_SCHEMA)
+
+def typed_items(items: DataFrame) -> DataFrame:
+    """Raw texts of items as typed values: day, sale type, price and shipping."""
+    values = {
+        "carddate": scalars.sold_date(F.col("date_text")),
+        "saletype": tagger.sale_type(F.col("spans")),
+        "price": tagger.sale_price(F.col("spans")),
+        "shipping": scalars.shipping_amount(F.col("shipping_text")),
+    }
+    return items.withColumns(values).drop("date_text", "spans", "shipping_text")
 
 
 def listing_rows(pages: DataFrame) -> DataFrame:
-    """Items that have a title, with typed values: day, sale type, price and shipping."""
-    return listing_items(pages).filter(F.col("title").isNotNull()).select(
-        "page_id",
-        "position",
-        "title",
-        scalars.sold_date(F.col("date_text")).alias("carddate"),
-        tagger.sale_type(F.col("spans")).alias("saletype"),
-        tagger.sale_price(F.col("spans")).alias("price"),
-        scalars.shipping_amount(F.col("shipping_text")).alias("shipping"),
-    )
+    """Items that have a title, with typed values."""
+    rows = typed_items(listing_items(pages.select("page_id", "html"))).filter(F.col("title").isNotNull())
+    return rows.select("page_id", "position", "title", "carddate", "saletype", "price", "shipping")
 
 
 def hrefs(html: Column) -> Column:

@@ -90,6 +90,7 @@ VIEWS = {
     "listings": """
         SELECT l_orderkey*10+l_linenumber AS listing_id, l_orderkey AS orderkey, l_linenumber AS position,
           p_partkey AS partkey, p_name AS cardname, CAST(l_shipdate AS DATE) AS carddate,
+          l_extendedprice AS amount, l_quantity AS pieces,
           concat(
             CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING),'x ')
               WHEN 3 THEN concat('X',CAST(CAST(l_quantity AS INT) AS STRING),' ') WHEN 4 THEN 'Playset '
@@ -105,6 +106,13 @@ VIEWS = {
             CASE l_suppkey%6 WHEN 0 THEN ' NM' WHEN 1 THEN ' Lightly Played' WHEN 2 THEN ' hp' WHEN 3 THEN ' Mint'
               WHEN 4 THEN ' Damaged' ELSE '' END) AS title
         FROM {lineitem} JOIN {part} ON l_partkey=p_partkey""",
+    # What a search for each card's listings finds, in order: the newest first, but for some put forward.
+    "search_items": """
+        SELECT partkey AS search_id, cardname, listing_id, position AS line, carddate, amount, pieces,
+          CASE WHEN listing_id%29=3 THEN NULL ELSE title END AS title,
+          CAST(row_number() OVER (PARTITION BY partkey ORDER BY CASE WHEN position=7 THEN 0 ELSE 1 END, carddate DESC,
+            listing_id, title, amount) - 1 AS INT) AS place
+        FROM {listings}""",
     # Payment events; every seventh one carries no subscription.
     "sub_events": """
         SELECT event_id, ts, user_id AS customer,

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from marketloom.functions import tagger
-from marketloom.operators.incremental import in_range
+from marketloom.operators.incremental import in_range, is_stop, with_bounds
+from marketloom.operators.setmatch import add_rarity, add_set, rare_cards
 from marketloom.operators.shares import event_counts
+from marketloom.session import stored
+from marketloom.sources import markup
 from marketloom.sources.documents import card_price_rows
-from marketloom.streaming.files import run_batches, run_with_known, write_batch
+from marketloom.streaming.files import last_batch, read_batches, run_batches, run_with_known, write_batch
 
 RESCAN_DAYS = 14
 
@@ -45,6 +49,77 @@ def ingest_sales(
     run_with_known(listings.sparkSession, out, schema, mark, run)
 
 
+#: A stored sale.
+SALE = (
+    "cardname string, price double, carddate date, isfoil boolean, saletype string, cardquantity int, cardspecial string, "
+    "cardlanguage string, cardcondition string, title string, possiblybad boolean, isbanned boolean, shipping double, "
+    "cardset string, rarity string, lotis boolean, isboosterbox boolean, isgraded boolean, iscommanderdeck boolean, "
+    "istoken boolean, isemblem boolean"
+)
+SEARCH = ["search_id", "cardname"]
+LATEST_COPY = "1 day"
+
+
+def ingest_sale_pages(
+    pages: DataFrame,
+    sets_per_card: DataFrame,
+    cards: DataFrame,
+    rare_codes: DataFrame,
+    out: str,
+    checkpoint: str,
+    as_of: str,
+) -> None:
+    """From result pages ``search_id, cardname, part, fetched, html`` to stored sales (columns SALE).
+
+    The pages of one search are parts in order, and may come in any order and in
+    any cut into batches. A page that comes again within a day of its first copy
+    (by ``fetched``) is dropped by the stream's own state. Each batch writes what
+    it knows: its wanted rows, tagged, and per search the first place where the
+    reading stops. Where a search ends is the smallest of all batches' stops, so
+    it is settled once per run; a run that breaks off before is settled by the
+    next one, under the same high-water marks.
+    """
+    spark = pages.sparkSession
+    found, stops = f"{out}-found", f"{out}-stops"
+    sale = T.StructType.fromDDL(SALE)
+    place = T.StructField("place", T.StructType.fromDDL("part int, position int"))
+    search = [T.StructField("search_id", pages.schema["search_id"].dataType)]
+    mark = T.StructType([sale["cardname"], sale["carddate"]])
+    sets, rare = stored(sets_per_card, "card-sets"), stored(rare_cards(cards, rare_codes), "rare")
+    once = pages.withWatermark("fetched", LATEST_COPY).dropDuplicatesWithinWatermark(["search_id", "part"])
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("cardname").agg(F.max("carddate").alias("carddate"))
+
+    def handle(batch: DataFrame, batch_id: int, known: DataFrame) -> None:
+        items = markup.listing_items(batch.select(*SEARCH, "part", "html"))
+        rows = with_bounds(markup.typed_items(items), known, as_of)
+        rows = stored(rows.withColumn("place", F.struct("part", "position")), "sale-items")
+        day, lo, hi = F.col("carddate"), F.col("_lo"), F.col("_hi")
+        ends = rows.filter(is_stop(day, lo, F.col("_slack"))).groupBy("search_id").agg(F.min("place").alias("stop"))
+        write_batch(ends, stops, batch_id)
+        wanted = rows.filter((day >= lo) & (day <= hi) & F.col("title").isNotNull())
+        tagged = add_rarity(add_set(tagger.tag(wanted), sets), rare)
+        write_batch(tagged.select("search_id", "place", *sale.names).to(T.StructType([*search, place, *sale])), found, batch_id)
+
+    def settle() -> None:
+        last, done = last_batch(spark, found), last_batch(spark, out)
+        if last <= done:
+            return
+        rows = read_batches(spark, found, T.StructType([*search, place, *sale]), after=done)
+        stop = T.StructField("stop", place.dataType)
+        ends = read_batches(spark, stops, T.StructType([*search, stop]), after=done)
+        ends = ends.groupBy("search_id").agg(F.min("stop").alias("stop"))
+        kept = rows.join(ends, "search_id", "left").filter(F.col("stop").isNull() | (F.col("place") < F.col("stop")))
+        write_batch(kept.select(*sale.names), out, last)
+
+    def run(known: DataFrame) -> None:
+        run_batches(once, lambda batch, batch_id: handle(batch, batch_id, known), checkpoint)
+        settle()
+
+    run_with_known(spark, out, mark, newest, run)
+
+
 def ingest_prices(documents: DataFrame, out: str, checkpoint: str) -> None:
     """Append the rows of each new price document; the checkpoint keeps what was read."""
     query = (

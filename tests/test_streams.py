@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from marketloom.operators import members, names
+from marketloom.plans import queries_jobs
 from marketloom.plans.queries_market import sale
 from marketloom.streaming import daily, ingest, membership
 from marketloom.streaming.files import file_stream
@@ -116,3 +117,45 @@ def test_prices_are_read_once(spark, tmp_path):
     for _ in range(2):
         ingest.ingest_prices(file_stream(spark, str(tmp_path / "in"), docs.schema), *places)
     assert rows(spark.read.parquet(places[0])) == [(1, D(2024, 1, 2), 2.5)]
+
+
+def test_sale_pages_in_any_cut(spark, market):
+    """Pages of one search in several batches, copies among them, give the same sales."""
+    whole = rows(queries_jobs.stored_sales(market, 1))
+    assert len(whole) > 150 and rows(queries_jobs.stored_sales(market, 16)) == whole
+
+
+def _page(search, card, part, items, minute=0):
+    """Items are day, title, price; the first of a page is no listing."""
+    item = (
+        '<div class="s-item__info clearfix"><div class="s-item__title">{1}</div><div class="s-item__title--tag"><span class="POSITIVE">'
+        'Sold  {0}</span></div><span class="s-item__price"><span class="POSITIVE">{2}</span></span></div>'
+    )
+    html = "".join(item.format(*i) for i in [("Jan 1, 2024", "Shop on us", "$1"), *items])
+    return (search, card, part, dt.datetime(2024, 1, 10, 0, minute), html)
+
+
+def _sale_pages_run(spark, market, tmp_path, batches):
+    schema = "search_id long, cardname string, part int, fetched timestamp, html string"
+    for i, pages in enumerate(batches):
+        spark.createDataFrame(pages, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    words = "array<struct<rank:int,code:string,word:string>>"
+    sets = spark.createDataFrame([], f"cardname string, by_alias {words}, by_code {words}, by_name {words}")
+    codes = spark.createDataFrame([], "code string")
+    stream = file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
+    ingest.ingest_sale_pages(stream, sets, market["cards"], codes, str(tmp_path / "out"), str(tmp_path / "cp"), "2024-01-10")
+    return rows(spark.read.schema(ingest.SALE).parquet(str(tmp_path / "out")).select("title", "carddate", "price"))
+
+
+def test_a_stop_in_a_later_batch_takes_rows_back(spark, market, tmp_path):
+    stored = spark.createDataFrame([("Elf", D(2024, 1, 3), "Elf kept")], "cardname string, carddate date, title string")
+    stored.write.parquet(str(tmp_path / "out" / "batch=-1"))
+    late = _page(1, "Elf", 1, [("Jan 8, 2024", "Elf after the stop", "$2.50")])
+    early = _page(1, "Elf", 0, [
+        ("Jan 9, 2024", "Elf foil", "$1,200.00"), ("Dec 1, 2023", "Elf stray", "$1"), ("Jan 10, 2024", "Elf of today", "$1"),
+        ("Jan 9, 2024", "<b>no</b> title", "$1"), ("Jan 8, 2024", "other", "$1"), ("Jan 2, 2024", "Elf stop", "$1"), ("Jan 9, 2024", "Elf hidden", "$1"),
+    ])
+    new = _page(2, "Orc", 0, [("Oct 10, 2023", "orc x2", "$3"), ("Oct 1, 2023", "orc old", "$3"), ("Jan 9, 2024", "orc hidden", "$3")])
+    again = _page(2, "Orc", 0, [("Jan 9, 2024", "orc copy", "$3")], minute=30)
+    got = _sale_pages_run(spark, market, tmp_path, [[late], [early, new], [again]])
+    assert got == [("Elf foil", D(2024, 1, 9), 1200.0), ("Elf kept", D(2024, 1, 3), None), ("orc x2", D(2023, 10, 10), 3.0)]
