@@ -1,4 +1,11 @@
-"""Exact average and median per group, also where one group is huge."""
+"""Exact average and median per group, whatever a group's size.
+
+The middle ranks are found by counting, not by sorting a group: values are
+counted by bucket, the buckets that hold the middle ranks are kept, and their
+values are counted again in finer buckets. Counts are combined inside each task
+and spread over the cluster by group and bucket, so no group stands in one
+buffer; what a group sends to one task is at most one row per bucket.
+"""
 
 from __future__ import annotations
 
@@ -9,24 +16,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Above this many values a group's median is found by splitting the group. The
-# list of such groups has at most total_rows / HOT_ROWS rows, which bounds what
-# is broadcast (a trillion rows: a million short keys).
-HOT_ROWS = 1_000_000
+# First buckets: so many to a factor e, below about a million in all. Each later
+# round cuts the stretch between a bucket's least and greatest value into PARTS.
+# 1 / PER_E of a value spans less than 2^44 doubles, so two such rounds part all
+# values that differ.
+PER_E = 369
+PARTS = 1 << 22
+ROUNDS = 3
+_BEYOND = 1_000_000
+
+
+def _first_bucket(v: Column) -> Column:
+    """A number that does not fall as ``v`` grows; infinities, NaN and 0 have their own."""
+    size = F.floor(F.ln(F.abs(v)) * PER_E) + F.lit(_BEYOND // 2)
+    return (
+        F.when(v.isNull() | (v == 0), F.lit(0).cast("bigint"))
+        .when(F.isnan(v), F.lit(2 * _BEYOND).cast("bigint"))
+        .when(F.abs(v) == float("inf"), F.when(v > 0, _BEYOND).otherwise(-_BEYOND).cast("bigint"))
+        .otherwise(F.when(v > 0, size).otherwise(-size))
+    )
 
-# Half width, in ranks, of the band searched for a hot group's median, and the
-# accuracy of the sketch that places it. The sketch only decides how much work
-# is left; the counts that locate the median are exact.
-BAND = 0.0005
-SKETCH_ACCURACY = 10_000
 
+def _fine_bucket(v: Column, lo: Column, hi: Column) -> Column:
+    return F.floor((v - lo) / (hi - lo) * PARTS)
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(and_, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys])
 
+def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(
+        F.sum("_w").alias("_size"), F.sum(F.col("_v") * F.col("_w")).alias("_sum"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    )
 
-def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.withColumnsRenamed({k: f"_{k}" for k in keys})
+
+def _holding(buckets: DataFrame, group: list[str], bucket: str) -> DataFrame:
+    """Buckets that hold one of the ranks ``_lower`` and ``_upper``, which become ranks inside the bucket, else null."""
+    upto = F.sum("_size").over(W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, 0))
+    placed = buckets.withColumn("_before", upto - F.col("_size"))
+
+    def inside(rank: str) -> Column:
+        rank_ = F.col(rank) - F.col("_before")
+        return F.when((rank_ > 0) & (rank_ <= F.col("_size")), rank_)
+
+    placed = placed.withColumns({"_lower": inside("_lower"), "_upper": inside("_upper")}).drop("_before")
+    return placed.filter(F.coalesce("_lower", "_upper").isNotNull() | (F.col("_n") == 0))
 
 
 def avg_and_median(
@@ -35,74 +66,43 @@ def avg_and_median(
     value: str,
     avg_name: str = "avge",
     median_name: str = "med",
-    hot_rows: int = HOT_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
-    """``keys, avg, median`` with the exact, interpolated median.
+    """``keys, avg, median`` with the exact, interpolated median; ``weight`` tells how often a row counts.
 
-    Small groups use Spark's own ``median``. That aggregate keeps every distinct
-    value of a group in one buffer, so groups of more than ``hot_rows`` values
-    take the split path instead. Both paths read the same upstream shuffle; when
-    no group is hot, adaptive execution drops the second one.
+    Null values do not count; a group of nulls has a null average and median. Null
+    keys are keys like any other.
     """
-    rows = df.select(*keys, F.col(value).alias("_v"))
-    sizes = rows.groupBy(*keys).agg(F.count("_v").alias("_n")).filter(F.col("_n") > hot_rows)
-    hot = _renamed(sizes, keys).withColumn("_hot", F.lit(True))
-    # Null-safe keys add no not-null filter below, so the shuffle is reused.
-    marked = rows.join(F.broadcast(hot), _same(rows, hot, keys), "left")
-    small = (
-        marked.filter(F.col("_hot").isNull())
-        .groupBy(*keys)
-        .agg(F.avg("_v").alias(avg_name), F.median("_v").alias(median_name))
+    times = F.col(weight) if weight else F.lit(1)
+    v = F.col(value).cast("double")
+    rows = df.select(*keys, (v + F.lit(0.0)).alias("_v"), F.when(v.isNotNull(), times).otherwise(0).cast("bigint").alias("_w"))
+    rows = rows.withColumn("_b", _first_bucket(F.col("_v")))
+
+    whole = W.partitionBy(*keys)
+    buckets = _counted(rows, [*keys, "_b"]).withColumns(
+        {"_n": F.sum("_size").over(whole), avg_name: F.try_divide(F.sum("_sum").over(whole), F.sum("_size").over(whole))}
     )
-    large = marked.filter(F.col("_hot")).select(*keys, "_v")
-    return small.unionByName(_split_median(large, keys, avg_name, median_name))
-
-
-def _split_median(rows: DataFrame, keys: list[str], avg_name: str, median_name: str) -> DataFrame:
-    """Median of large groups without holding any group in one place.
-
-    1. count equal values (the key includes the value, so groups spread out);
-    2. a bounded sketch gives two edges close around the median;
-    3. exact counts below, inside and above the edges say which part holds the
-       middle ranks, and only that part is sorted.
-    """
-    rows = rows.filter(F.col("_v").isNotNull())
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    edges = _renamed(
-        rows.groupBy(*keys).agg(
-            F.percentile_approx("_v", [0.5 - BAND, 0.5 + BAND], SKETCH_ACCURACY).alias("_e"),
-            F.count(F.lit(1)).alias("_n"),
-            F.avg("_v").alias("_avg"),
-        ),
-        keys,
-    )
-    v, e = F.col("_v"), F.col("_e")
-    placed = counts.join(F.broadcast(edges), _same(counts, edges, keys)).select(
-        *keys, "_v", "_c", "_n", "_avg",
-        F.when(v < e[0], 0).when(v <= e[1], 1).otherwise(2).alias("_part"),
-    )
-    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-
-    # At most three parts per group.
-    parts = placed.groupBy(*keys, "_part", "_n").agg(F.sum("_c").alias("_size"))
-    so_far = F.sum("_size").over(W.partitionBy(*keys).orderBy("_part"))
-    parts = parts.withColumn("_upto", so_far).withColumn("_before", F.col("_upto") - F.col("_size"))
-
-    def inside(rank: Column) -> Column:
-        return (F.col("_before") < rank) & (rank <= F.col("_upto"))
-
-    wanted = _renamed(
-        parts.filter(inside(lower) | inside(upper)).select(*keys, "_part", "_before"), [*keys, "_part"]
-    )
-    middle = placed.join(F.broadcast(wanted), _same(placed, wanted, [*keys, "_part"])).select(
-        *keys, "_part", "_v", "_c", "_n", "_avg", F.col("_before").alias("_base")
-    )
-    upto = F.col("_base") + F.sum("_c").over(W.partitionBy(*keys, "_part").orderBy("_v"))
-    middle = middle.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_c"))
-    return (
-        middle.groupBy(*keys)
-        .agg(
-            F.first("_avg").alias(avg_name),
-            (F.max(F.when(inside(lower), v)) * 0.5 + F.max(F.when(inside(upper), v)) * 0.5).alias(median_name),
-        )
+    n = F.col("_n")
+    ranked = buckets.withColumns({"_lower": F.floor((n + 1) / 2), "_upper": F.floor(n / 2) + 1})
+    held = _holding(ranked, keys, "_b")
+    one_value = F.col("_lo").eqNullSafe(F.col("_hi"))
+    carried = ["_n", avg_name, "_lower", "_upper", "_lo", "_hi"]
+    done = [held.filter(one_value).select(*keys, *carried)]
+    for _ in range(ROUNDS - 1):
+        open_ = held.filter(~one_value)
+        open_ = open_.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_in"), *carried)
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        within = [F.col("_b") == F.col("_in"), F.col("_v") >= F.col("_lo"), F.col("_v") <= F.col("_hi")]
+        part = _fine_bucket(F.col("_v"), F.col("_lo"), F.col("_hi"))
+        near = rows.join(open_, reduce(and_, same + within)).withColumn("_part", part).withColumnsRenamed({"_lo": "_from", "_hi": "_to"})
+        kept = ["_n", avg_name, "_lower", "_upper"]
+        # Two open buckets of a group are told apart by where they begin.
+        group = [*keys, "_b", "_from"]
+        fine = _counted(near, [*group, "_part", *kept])
+        held = _holding(fine, group, "_part")
+        done.append(held.filter(one_value).select(*keys, *carried))
+    found = reduce(DataFrame.unionByName, done)
+    middle = lambda rank: F.max(F.when(F.col(rank).isNotNull(), F.col("_lo")))
+    return found.groupBy(*keys).agg(
+        F.first(avg_name).alias(avg_name), (middle("_lower") * 0.5 + middle("_upper") * 0.5).alias(median_name)
     )

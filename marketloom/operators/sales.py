@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import predicates as P
 from marketloom.functions import scalars
 from marketloom.operators.names import only_names
-from marketloom.operators.quantiles import HOT_ROWS, avg_and_median
+from marketloom.operators.quantiles import avg_and_median
 
 # Which sales count. A column missing from a table is not tested.
 CLEAN_RULES: dict[str, str | tuple] = {
@@ -59,18 +59,13 @@ def clean_sales(tx: DataFrame, rules: dict[str, str | tuple] = CLEAN_RULES) -> D
     )
 
 
-def daily_sale_price(
-    tx: DataFrame,
-    names: DataFrame,
-    rules: dict[str, str | tuple] = CLEAN_RULES,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def daily_sale_price(tx: DataFrame, names: DataFrame, rules: dict[str, str | tuple] = CLEAN_RULES) -> DataFrame:
     """``cardname, carddate, avge, med`` of the clean sales of the listed cards.
 
     Equal title, card, day and unit price count as one sale.
     """
     sales = only_names(clean_sales(tx, rules), names).distinct()
-    return avg_and_median(sales, ["cardname", "carddate"], "unit", hot_rows=hot_rows)
+    return avg_and_median(sales, ["cardname", "carddate"], "unit")
 
 
 def drill_down(tx: DataFrame, cardname: str, day: str, rows: int = 10) -> DataFrame:

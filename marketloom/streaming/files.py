@@ -42,8 +42,8 @@ def batch_path(out: str, batch_id: int) -> str:
     return f"{out}/batch={batch_id}"
 
 
-def write_batch(df: DataFrame, out: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(batch_path(out, batch_id))
+def write_batch(df: DataFrame, out: str, batch_id: int, *partitions: str) -> None:
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(batch_path(out, batch_id))
 
 
 def _numbered(spark: SparkSession, path: str, schema: StructType, number: str) -> DataFrame:
