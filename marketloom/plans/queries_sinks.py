@@ -26,9 +26,9 @@ def _back(m: Market, path: str) -> DataFrame:
 def snk1(m):
     path = work_path(m.spark, "refresh")
     # What the table held before is gone afterwards.
-    sinks.full_refresh(universe(m), path)
-    sinks.full_refresh(sale(m), path)
-    return _back(m, path)
+    sinks.refresh_version(universe(m), path)
+    sinks.refresh_version(sale(m), path)
+    return sinks.read_version(m.spark, path)
 
 
 @query("snk2_ctas", "SELECT id, card_id, date, price, cardname, cardset FROM {priced_versions}")
@@ -52,7 +52,7 @@ def snk3(m):
 def snk4(m):
     path = work_path(m.spark, "slopes")
     sinks.replace_ranked(slopes(m), path)
-    return _back(m, path).select("id", "cardname")
+    return sinks.read_version(m.spark, path).select("id", "cardname")
 
 
 @query("snk5_delete_where", "SELECT cardname, entrydate, cardquant, tourntitle FROM {modern_decks} WHERE tourntitle NOT ILIKE 't3%'")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marketloom.operators.incremental import new_rows
 from marketloom.operators.momentum import ranked_slopes
@@ -15,10 +17,57 @@ def full_refresh(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def create_as(df: DataFrame, table: str, path: str | None = None) -> None:
-    """Drop and create a catalog table from a query."""
-    writer = df.write.mode("overwrite").format("parquet")
-    (writer.option("path", path) if path else writer).saveAsTable(table)
+_COMMITS = "version bigint, through bigint"
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(_COMMITS).parquet(f"{path}/commits")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _COMMITS)
+
+
+def committed(spark: SparkSession, path: str) -> tuple[int, int]:
+    """The current version of the table at ``path`` and the number it was written with; -1 each if there is none."""
+    newest = _commits(spark, path).agg(F.max(F.struct("version", "through")).alias("c")).first().c
+    return (newest.version, newest.through) if newest else (-1, -1)
+
+
+def read_version(spark: SparkSession, path: str, schema: StructType | str | None = None, version: int | None = None) -> DataFrame:
+    """The current version of a table, or the given one; no rows, if ``schema`` is known, where none is committed."""
+    version = committed(spark, path)[0] if version is None else version
+    if version < 0 and schema is not None:
+        return spark.createDataFrame([], schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/version={version}")
+
+
+def refresh_version(df: DataFrame, path: str, through: int = -1) -> int:
+    """Replace the table by a new version, which becomes current when it is whole.
+
+    The version has a folder of its own, and one small row, written last, makes it
+    the current one. A reader holds on to the version it has begun with, a refresh
+    that breaks off leaves the former one current, and ``df`` may read the table it
+    replaces. One writer at a time; ``through`` is kept with the version.
+    """
+    spark = df.sparkSession
+    version = committed(spark, path)[0] + 1
+    full_refresh(df, f"{path}/version={version}")
+    spark.createDataFrame([(version, through)], _COMMITS).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return version
+
+
+def create_as(df: DataFrame, table: str, path: str) -> None:
+    """Drop and create a catalog table from a query.
+
+    The rows are written as a new version below ``path`` first; the table is then
+    set to it, so it is never seen half written.
+    """
+    spark, version = df.sparkSession, refresh_version(df, path)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.catalog.createTable(table, path=f"{path}/version={version}", source="parquet")
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
@@ -28,8 +77,8 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def replace_ranked(slopes: DataFrame, path: str) -> None:
-    """Replace the slope table; ids follow rising slope."""
-    full_refresh(ranked_slopes(slopes), path)
+    """Replace the slope table; ids follow rising slope. Pages read meanwhile see one version throughout."""
+    refresh_version(ranked_slopes(slopes), path)
 
 
 def delete_like(spark: SparkSession, path: str, target: str, pattern: str = "(%)") -> None:

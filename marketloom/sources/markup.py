@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -89,22 +91,18 @@ def _elements(html: str) -> list[_Element]:
     """
     found: list[_Element] = []
     open_: list[int] = []
+    # Per tag the depths at which it is open, so an end tag finds its opener, or that it has none, at once.
+    depths: dict[str, list[int]] = defaultdict(list)
 
-    def close(tags: set[str], at: int, whole: bool) -> None:
-        """End the innermost of ``tags`` with all inside; all of them up to the table if ``whole``."""
-        depth = last = len(open_)
-        while depth:
-            depth -= 1
-            tag = found[open_[depth]].tag
-            if tag in tags:
-                last = depth
-                if not whole:
-                    break
-            elif tag == "table" and not tags.isdisjoint(_ENDS):
-                break
-        for i in open_[last:]:
+    def cut(depth: int, at: int) -> None:
+        for i in open_[depth:]:
             found[i].end = at
-        del open_[last:]
+            depths[found[i].tag].pop()
+        del open_[depth:]
+
+    def floor(tag: str) -> int:
+        """Cells and rows end inside the innermost table only."""
+        return depths["table"][-1] if tag in _ENDS and depths["table"] else -1
 
     for token in _TOKEN.finditer(html):
         closing, tag, attributes = token.groups()
@@ -112,12 +110,17 @@ def _elements(html: str) -> list[_Element]:
             continue
         tag = tag.lower()
         if closing:
-            close({tag}, token.start(), False)
+            if depths[tag] and depths[tag][-1] > floor(tag):
+                cut(depths[tag][-1], token.start())
             continue
         if tag in _ENDS:
-            close(_ENDS[tag], token.start(), True)
+            least = floor(tag)
+            ends = [d[k] for d in map(depths.__getitem__, _ENDS[tag]) if (k := bisect_right(d, least)) < len(d)]
+            if ends:
+                cut(min(ends), token.start())
         found.append(_Element(tag, _attributes(attributes), token.end(), len(html), open_[-1] if open_ else -1))
         if not attributes.endswith("/"):
+            depths[tag].append(len(open_))
             open_.append(len(found) - 1)
     return found
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import io
 import json
+import time
 import zipfile
 
 from conftest import rows
@@ -148,4 +149,32 @@ def test_sinks(spark, tmp_path):
     assert rows(spark.read.text(j)) == [('{"id":1,"v":"a"}',), ('{"id":2,"v":"b"}',)]
     s = str(tmp_path / "s")
     sinks.replace_ranked(spark.createDataFrame([("x", 2.0), ("y", -1.0)], "cardname string, slope double"), s)
+    s += "/version=0"
     assert rows(spark.read.parquet(s), "id") == [(1, "y", -1.0), (2, "x", 2.0)]
+
+
+def test_stray_end_tags_take_linear_time():
+    for html in ("<div>" * 64_000 + "</a>" * 64_000, "<table><tr><td>" * 30_000 + "</tr></a>" * 30_000):
+        start = time.process_time()
+        assert len(markup._elements(html)) >= 64_000
+        assert time.process_time() - start < 5
+
+
+def test_a_reader_never_meets_half_a_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    sinks.refresh_version(first, path, through=7)
+    assert sinks.committed(spark, path) == (0, 7)
+    reader = sinks.read_version(spark, path)
+    # The next version's rows are there, but not committed: as between the two steps of a refresh.
+    first.filter("id = 1").write.parquet(f"{path}/version=1")
+    assert rows(sinks.read_version(spark, path)) == [(1, "a"), (2, "b")]
+    # The next refresh replaces what was left over, and may read the table itself.
+    sinks.refresh_version(sinks.read_version(spark, path).withColumn("v", F.upper("v")), path)
+    assert rows(sinks.read_version(spark, path)) == [(1, "A"), (2, "B")] and rows(reader) == [(1, "a"), (2, "b")]
+    sinks.create_as(first, "made_by_test", path)
+    assert rows(spark.table("made_by_test")) == [(1, "a"), (2, "b")]
+    sinks.create_as(first.filter("id = 2"), "made_by_test", path)
+    assert rows(spark.table("made_by_test")) == [(2, "b")]
+    spark.sql("DROP TABLE made_by_test")
+    assert rows(sinks.read_version(spark, str(tmp_path / "none"), "id int")) == []

@@ -26,9 +26,17 @@ def test_membership_equals_batch(spark, market, tmp_path):
     stream = file_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
     membership.follow(stream, out, checkpoint)
-    assert len(list((tmp_path / "out").glob("batch=*"))) == 3
+    assert len(list((tmp_path / "out-changes").glob("batch=*"))) == 3
     want = rows(members.subscription_state(market["sub_events"]))
-    assert rows(membership.current(spark, out, market["sub_events"])) == want
+    state = membership.current(spark, out, market["sub_events"])
+    assert rows(state) == want
+    # The state is read from one version, not from the batches.
+    assert all("version=0" in f for f in state.inputFiles())
+    ends = sorted(r[2] for r in want if r[1] == members.SUBSCRIBED and r[2] is not None)
+    since, as_of = ends[len(ends) // 3], ends[len(ends) // 2]
+    over = membership.expired(spark, out, market["sub_events"], since, as_of)
+    assert rows(over) == sorted((c, members.UNSUBSCRIBED, e) for c, r, e in want if r == members.SUBSCRIBED and e is not None and since <= e < as_of)
+    assert "GreaterThanOrEqual(period_end" in over._jdf.queryExecution().executedPlan().toString()
     # A second run finds nothing new.
     membership.follow(file_stream(spark, str(tmp_path / "in"), schema, 1), out, checkpoint)
     assert rows(membership.current(spark, out, market["sub_events"])) == want
