@@ -22,10 +22,14 @@ def card_definitions(docs: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
+def price_day(file_name: Column) -> Column:
+    """The day a price file is named after."""
+    return F.regexp_extract(file_name, r"price-history-(\d{4}-\d{2}-\d{2})\.txt", 1).try_cast("date")
+
+
 def card_price_rows(docs: DataFrame, text: str = "value", file_name: str = "file_name") -> DataFrame:
     """``{id: price}`` documents, dated by their file name, to ``card_id, date, price``."""
-    day = F.regexp_extract(file_name, r"price-history-(\d{4}-\d{2}-\d{2})\.txt", 1).try_cast("date")
-    entries = docs.select(day.alias("date"), F.explode(F.from_json(text, PRICES)).alias("key", "price"))
+    entries = docs.select(price_day(F.col(file_name)).alias("date"), F.explode(F.from_json(text, PRICES)).alias("key", "price"))
     return entries.select(F.col("key").cast("bigint").alias("card_id"), "date", "price")
 
 

@@ -247,15 +247,16 @@ def _page_lists(pages: DataFrame, container, wanted, read, schema: str) -> DataF
 
 
 def deck_links(pages: DataFrame, mark: str = DECK_MARK) -> DataFrame:
-    """Links of the result table that lead to a deck."""
+    """Links of the result table that lead to a deck, beside the page's other columns."""
+    keys = [c for c in pages.columns if c != "html"]
     lists = _page_lists(
-        pages.select("page_id", "html"),
+        pages,
         ("table", "class", "table-tournament"),
         [("a", None, None)],
         lambda e, html: e.attributes.get("href"),
         "hrefs array<string>",
     )
-    links = lists.select("page_id", F.posexplode("hrefs").alias("position", "href"))
+    links = lists.select(*keys, F.posexplode("hrefs").alias("position", "href"))
     return links.filter(F.contains(F.lower("href"), F.lit(mark)))
 
 

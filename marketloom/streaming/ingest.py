@@ -10,12 +10,13 @@ from pyspark.sql import types as T
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from marketloom.functions import tagger
-from marketloom.operators.incremental import in_range, is_stop, with_bounds
+from marketloom.operators.incremental import in_range, is_stop, new_rows, with_bounds
 from marketloom.operators.setmatch import add_rarity, add_set, rare_cards
-from marketloom.operators.shares import event_counts
+from marketloom.operators.shares import event_counts, without_titles_like
 from marketloom.session import stored
 from marketloom.sources import markup
-from marketloom.sources.documents import card_price_rows
+from marketloom.operators.series import contiguous_prefix
+from marketloom.sources.documents import card_definitions, card_price_rows, price_day
 from marketloom.streaming.files import last_batch, read_batches, run_batches, run_with_known, write_batch
 
 RESCAN_DAYS = 14
@@ -133,6 +134,15 @@ def ingest_prices(documents: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+ENTRY = "cardname string, entrydate date, cardquant bigint, tourntitle string"
+EVENT = StructType([StructField("tourntitle", StringType()), StructField("entrydate", DateType())])
+
+
+def _recent_events(rows: DataFrame) -> DataFrame:
+    newest = rows.agg(F.max("entrydate")).scalar()
+    return rows.filter(F.col("entrydate") >= F.date_sub(newest, RESCAN_DAYS)).distinct()
+
+
 def ingest_entries(
     entries: DataFrame,
     out: str,
@@ -146,21 +156,77 @@ def ingest_entries(
     An event in several files has rows in several batches: ``stored_entries``
     adds them up.
     """
-    schema = StructType([StructField("tourntitle", StringType()), StructField("entrydate", DateType())])
-
-    def recent(rows: DataFrame) -> DataFrame:
-        newest = rows.agg(F.max("entrydate")).scalar()
-        return rows.filter(F.col("entrydate") >= F.date_sub(newest, RESCAN_DAYS)).distinct()
 
     def run(known: DataFrame) -> None:
         def handle(batch: DataFrame, batch_id: int) -> None:
-            write_batch(event_counts(derive(batch)).join(known, schema.names, "left_anti"), out, batch_id)
+            write_batch(event_counts(derive(batch)).join(known, EVENT.names, "left_anti"), out, batch_id)
 
         run_batches(entries, handle, checkpoint)
 
-    run_with_known(entries.sparkSession, out, schema, recent, run)
+    run_with_known(entries.sparkSession, out, EVENT, _recent_events, run)
+
+
+def ingest_tournaments(results: DataFrame, tournaments: DataFrame, decks: DataFrame, out: str, checkpoint: str) -> None:
+    """From search-result pages to the cards of new tournaments (columns ENTRY).
+
+    ``results`` streams ``page_id, html`` of daily scans, each over the last
+    RESCAN_DAYS days; ``tournaments`` and ``decks`` hold ``url, html`` of the pages
+    the links lead to. A tournament page shown before is dropped by the stream's
+    state, which forgets events once no scan can show them again. Events stored by
+    earlier runs are skipped by title and day. Only pages of new events are parsed.
+    Titles in brackets are not kept.
+    """
+    rows = markup.result_rows(results)
+    dated = rows.withColumn("entrydate", F.col("entrydate").try_cast("date"))
+    dated = dated.withColumn("day", F.col("entrydate").cast("timestamp")).withWatermark("day", f"{RESCAN_DAYS + 1} days")
+    once = dated.dropDuplicatesWithinWatermark([*EVENT.names, "href"])
+
+    def cards_of(events: DataFrame) -> DataFrame:
+        pages = events.join(tournaments, F.col("href") == F.col("url")).select(*EVENT.names, "html")
+        links = markup.deck_links(pages).withColumnRenamed("href", "deck")
+        pages = links.join(decks, F.col("deck") == F.col("url")).select(*EVENT.names, "html")
+        return event_counts(markup.deck_cards(pages))
+
+    def run(known: DataFrame) -> None:
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            fresh = without_titles_like(batch.select(*EVENT.names, "href").join(known, EVENT.names, "left_anti"))
+            entries = cards_of(stored(fresh, "new-events"))
+            write_batch(entries.select(*T.StructType.fromDDL(ENTRY).names).to(T.StructType.fromDDL(ENTRY)), out, batch_id)
+
+        run_batches(once, handle, checkpoint)
+
+    run_with_known(results.sparkSession, out, EVENT, _recent_events, run)
 
 
 def stored_entries(spark: SparkSession, out: str) -> DataFrame:
     """The entries of all runs, one row per event and card."""
     return event_counts(spark.read.parquet(out))
+
+
+DEFINITION_ROW = "card_id bigint, cardname string, foil boolean, rarity string, cardset string"
+PRICE_ROW = "card_id bigint, date date, price double"
+
+
+def ingest_digital(definitions: DataFrame, prices: DataFrame, out_definitions: str, out_prices: str) -> None:
+    """Append new card definitions, and the price files from the last stored day to the first missing one.
+
+    ``definitions`` has ``value`` and ``prices`` has ``file_name, value``: all
+    documents that are there. The stored days say where to go on, so a file that
+    fills a gap is read with those behind it by the next run, whenever it comes;
+    documents of other days are not parsed. A run's rows are one batch, numbered
+    by its first day, which a repeated run replaces. Nothing happens without a
+    stored day to go on from, or if the day after it is missing.
+    """
+    spark = definitions.sparkSession
+    definition, price = T.StructType.fromDDL(DEFINITION_ROW), T.StructType.fromDDL(PRICE_ROW)
+    known = read_batches(spark, out_definitions, definition)
+    fresh = new_rows(card_definitions(definitions), known, ["card_id"]).dropDuplicates(["card_id"])
+    write_batch(fresh.select(*definition.names), out_definitions, last_batch(spark, out_definitions) + 1)
+
+    dated = prices.withColumn("d", price_day(F.col("file_name")))
+    last = read_batches(spark, out_prices, price).agg(F.max("date")).first()[0]
+    days = stored(contiguous_prefix(dated, F.lit(last)), "price-days")
+    first = days.agg(F.min("d")).first()[0]
+    if first is not None:
+        rows = card_price_rows(dated.join(days, "d", "left_semi"))
+        write_batch(rows.select(*price.names), out_prices, first.toordinal())
