@@ -67,9 +67,12 @@ def avg_and_median(
     avg_name: str = "avge",
     median_name: str = "med",
     weight: str | None = None,
+    level: float = 0.5,
 ) -> DataFrame:
     """``keys, avg, median`` with the exact, interpolated median; ``weight`` tells how often a row counts.
 
+    With another ``level`` that quantile takes the median's place.
+
     Null values do not count; a group of nulls has a null average and median. Null
     keys are keys like any other.
     """
@@ -83,7 +86,9 @@ def avg_and_median(
         {"_n": F.sum("_size").over(whole), avg_name: F.try_divide(F.sum("_sum").over(whole), F.sum("_size").over(whole))}
     )
     n = F.col("_n")
-    ranked = buckets.withColumns({"_lower": F.floor((n + 1) / 2), "_upper": F.floor(n / 2) + 1})
+    # How far the quantile lies past the lower of its two neighbours; ranks count from 1.
+    place = (n - 1) * F.lit(level)
+    ranked = buckets.withColumns({"_lower": F.floor(place) + 1, "_upper": F.ceil(place) + 1})
     held = _holding(ranked, keys, "_b")
     one_value = F.col("_lo").eqNullSafe(F.col("_hi"))
     carried = ["_n", avg_name, "_lower", "_upper", "_lo", "_hi"]
@@ -102,7 +107,8 @@ def avg_and_median(
         held = _holding(fine, group, "_part")
         done.append(held.filter(one_value).select(*keys, *carried))
     found = reduce(DataFrame.unionByName, done)
-    middle = lambda rank: F.max(F.when(F.col(rank).isNotNull(), F.col("_lo")))
-    return found.groupBy(*keys).agg(
-        F.first(avg_name).alias(avg_name), (middle("_lower") * 0.5 + middle("_upper") * 0.5).alias(median_name)
-    )
+    at = lambda rank: F.max(F.when(F.col(rank).isNotNull(), F.col("_lo")))
+    place = (F.first("_n") - 1) * F.lit(level)
+    past = place - F.floor(place)
+    between = at("_lower") * (1 - past) + F.when(past > 0, at("_upper") * past).otherwise(0.0)
+    return found.groupBy(*keys).agg(F.first(avg_name).alias(avg_name), between.alias(median_name))

@@ -109,30 +109,36 @@ def _known(m: Market) -> DataFrame:
     return features.feature_frame(inputs(m), window(m), backward=False)
 
 
-@query("m3_forecast")
+@query("m3_forecast", "SELECT cardname, date, step, q05, q50, q85, actual FROM {forecast}")
 def m3(m):
     return _forecast(m)
 
 
-@query("m4_quantiles_in_order")
+@query(
+    "m4_quantiles_in_order",
+    """SELECT step, COUNT(*) AS n, COUNT(*) FILTER (WHERE q05 <= q50 AND q50 <= q85) AS n_ordered, AVG(q85 - q05) AS width
+       FROM {forecast} GROUP BY step""",
+)
 def m4(m):
     ordered = (F.col("q05") <= F.col("q50")) & (F.col("q50") <= F.col("q85"))
-    return _forecast(m).groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.count_if(ordered).alias("n_ordered"))
+    width = F.avg(F.col("q85") - F.col("q05"))
+    return _forecast(m).groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.count_if(ordered).alias("n_ordered"), width.alias("width"))
 
 
-@query("m6_holdout_eval")
-def m6(m):
-    return forecast.evaluate(_forecast(m))
+_PINBALL = ", ".join(f"AVG(greatest((actual-q{n})*{q}, (actual-q{n})*({q}-1))) AS pinball_q{n}" for n, q in (("05", 0.05), ("50", 0.5), ("85", 0.85)))
 
 
 @query(
-    "q15_days_ahead",
-    """SELECT cardname, CAST(hi + CAST(step AS INT) AS DATE) AS date, CAST(step AS INT) AS step, TRUE AS in_order
-       FROM {model_names} CROSS JOIN {span} CROSS JOIN (SELECT unnest(generate_series(1, 7)) AS step) s""",
+    "m6_holdout_eval",
+    f"""SELECT step, {_PINBALL}, AVG(CASE WHEN actual BETWEEN q05 AND q85 THEN 1.0 ELSE 0.0 END) AS coverage, COUNT(*) AS n
+        FROM {{forecast}} WHERE actual IS NOT NULL GROUP BY step""",
 )
+def m6(m):
+    return forecast.evaluate(_forecast(m))
+
+
+@query("q15_days_ahead", "SELECT cardname, date, step, q05, q50, q85 FROM {ahead}")
 def q15(m):
     """The days after the last one, for every card of the registry."""
     last = F.lit(window(m).end).cast("date")
-    ahead = forecast.forecast(stored(_known(m), "frame"), last, last)
-    in_order = (F.col("q05") <= F.col("q50")) & (F.col("q50") <= F.col("q85"))
-    return ahead.select("cardname", "date", "step", in_order.alias("in_order"))
+    return forecast.forecast(stored(_known(m), "frame"), last, last).drop("actual")

@@ -5,30 +5,17 @@ They say what the DataFrame operators should give, in the plainest SQL.
 
 from __future__ import annotations
 
-from marketloom.operators.sales import CLEAN_RULES, SHIPPING_RATIO, TOTAL_CAP
-
-def _test(column: str, rule: str | tuple) -> str:
-    """One cleaning rule as a condition."""
-    kind, *values = (rule,) if isinstance(rule, str) else rule
-    listed = ",".join(f"'{v}'" for v in values)
-    return {
-        "false": f"{column} IS FALSE",
-        "null": f"{column} IS NULL",
-        "not_true": f"{column} IS NOT TRUE",
-        "in": f"{column} IN ({listed})",
-        "null_or_in": f"COALESCE({column} IN ({listed}), TRUE)",
-        "null_or_not_in": f"COALESCE({column} NOT IN ({listed}), TRUE)",
-    }[kind]
-
-
-CLEAN = " AND ".join(
-    [
-        f"shipping + price < {TOTAL_CAP:g}",
-        f"COALESCE(shipping / NULLIF(price, 0) < {SHIPPING_RATIO:g}, TRUE)",
-        "CASE WHEN othercards IS NOT NULL THEN transplit IS TRUE ELSE TRUE END",
-        *[_test(c, r) for c, r in CLEAN_RULES.items()],
-    ]
-)
+#: The cleaning rules as the data's owner states them; written down here once more, not taken from the operator.
+CLEAN = """
+    possiblybad IS FALSE AND ismisprint IS NULL AND isfoil IS FALSE
+    AND (cardlanguage IS NULL OR cardlanguage='english')
+    AND (cardset IS NULL OR (cardset<>'LEA' AND cardset<>'LEB' AND cardset<>'U'))
+    AND (isemblem IS NULL OR NOT isemblem) AND (lotis IS NULL OR NOT lotis) AND (isboosterbox IS NULL OR NOT isboosterbox)
+    AND (istoken IS NULL OR NOT istoken) AND (iscommanderdeck IS NULL OR NOT iscommanderdeck)
+    AND cardspecial IS NULL AND issleeve IS NULL AND isdeck IS NULL AND isplaymat IS NULL AND isultra IS NULL AND isgraded IS NULL
+    AND (othercards IS NULL OR COALESCE(transplit, FALSE))
+    AND saletype='normal' AND price + shipping < 100
+    AND CASE WHEN price=0 THEN TRUE ELSE COALESCE(shipping < 3 * price, TRUE) END"""
 UNIT = "(price+shipping)/NULLIF(COALESCE(availablequant,cardquantity,maybecardquantity,1),0)"
 
 
@@ -46,6 +33,61 @@ def _share(game_format: str) -> str:
         SELECT entrydate, cardname, copies / NULLIF(cards, 0) AS ratio FROM by_card JOIN by_day USING (entrydate)"""
 
 
+_STEPS, _LAGS = 7, 7
+_N = _LAGS + 6  # a constant, the lags, four features and the card's effect
+
+
+def _forecast(name: str, until: str) -> dict[str, str]:
+    """A forecast for the days after ``until``, learnt from the days up to it: least squares solved by elimination."""
+    lags = ", ".join(f"COALESCE(lag{i}, level)" for i in range(_LAGS))
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [*[f"lag{i}" for i in range(_LAGS)], "price0", "modratio", "pioratio", "standratio"])
+    return {
+        f"{name}_examples": f"""
+            WITH seen AS (
+              SELECT f.*, {until} AS until, CASE WHEN date <= {until} THEN target END AS known,
+                last_value(target IGNORE NULLS) OVER (PARTITION BY cardname ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled
+              FROM {{known_frame}} f CROSS JOIN {{span}}
+            ), mean AS (SELECT COALESCE(AVG(known),0) AS m FROM seen), effect AS (
+              SELECT cardname, (COALESCE(SUM(known),0) - COUNT(known) * MAX(m)) / (COUNT(known) + 10) AS effect FROM seen CROSS JOIN mean GROUP BY cardname
+            ), wide AS (
+              SELECT s.cardname, date, until, price0, modratio, pioratio, standratio, {", ".join(f"lag(filled,{i}) OVER w AS lag{i}" for i in range(_LAGS))},
+                [{", ".join(f"lead(target,{h}) OVER w" for h in range(1, _STEPS + 1))}] AS y
+              FROM seen s WINDOW w AS (PARTITION BY s.cardname ORDER BY date)
+            ), filled AS (
+              SELECT w.cardname, date, until, y, ({complete}) AS complete, m + effect AS level, w.* EXCLUDE (cardname, date, until, y), effect
+              FROM wide w JOIN effect e ON e.cardname=w.cardname CROSS JOIN mean
+            )
+            SELECT cardname, date, until, complete, step, y[step] AS actual,
+              complete AND y[step] IS NOT NULL AND date + CAST(step AS INT) <= until AS learnt,
+              [1.0, {lags}, COALESCE(price0,0), COALESCE(modratio,0), COALESCE(pioratio,0), COALESCE(standratio,0), effect] AS x
+            FROM filled CROSS JOIN (SELECT unnest(generate_series(1,{_STEPS})) AS step) s""",
+        f"{name}_weights": f"""
+            WITH RECURSIVE cells AS (
+              SELECT step, i, j, SUM(x[i] * CASE WHEN j <= {_N} THEN x[j] ELSE actual END) + CASE WHEN i=j AND i>1 THEN 1.0 ELSE 0 END AS v
+              FROM {{{name}_examples}} CROSS JOIN (SELECT unnest(generate_series(1,{_N})) AS i) a CROSS JOIN (SELECT unnest(generate_series(1,{_N + 1})) AS j) b
+              WHERE learnt GROUP BY step, i, j
+            ), matrix_rows AS (SELECT step, i, list(v ORDER BY j) AS r FROM cells GROUP BY step, i
+            ), solved AS (
+              SELECT step, 1 AS k, list(r ORDER BY i) AS m FROM matrix_rows GROUP BY step
+              UNION ALL
+              SELECT step, k + 1, list_transform(generate_series(1,{_N}), lambda i: CASE WHEN i=k
+                THEN list_transform(m[i], lambda v: v / m[k][k])
+                ELSE list_transform(generate_series(1,{_N + 1}), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END)
+              FROM solved WHERE k <= {_N}
+            )
+            SELECT step, list_transform(m, lambda r: r[{_N + 1}]) AS weights FROM solved WHERE k={_N + 1}""",
+        f"{name}_fitted": f"""
+            SELECT e.*, list_sum(list_transform(generate_series(1,{_N}), lambda i: x[i] * weights[i])) AS pred
+            FROM {{{name}_examples}} e JOIN {{{name}_weights}} w ON w.step=e.step""",
+        name: f"""
+            SELECT cardname, CAST(date + CAST(f.step AS INT) AS DATE) AS date, CAST(f.step AS INT) AS step,
+              exp(pred + e[1]) AS q05, exp(pred + e[2]) AS q50, exp(pred + e[3]) AS q85, exp(actual) AS actual
+            FROM {{{name}_fitted}} f JOIN (
+              SELECT step, quantile_cont(actual - pred, [0.05,0.5,0.85]) AS e FROM {{{name}_fitted}} WHERE learnt GROUP BY step) q ON q.step=f.step
+            WHERE date=until""",
+    }
+
+
 TWINS = {
     "universe": """
         SELECT DISTINCT cardname FROM {transactions} WHERE cardname IN (SELECT cardname FROM {pioneer_decks})
@@ -114,6 +156,12 @@ TWINS = {
                      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price0,
           COALESCE(modratio,0) AS modratio, COALESCE(pioratio,0) AS pioratio, COALESCE(standratio,0) AS standratio
         FROM {frame_gaps}""",
+    # The frame as it was known day by day: nothing filled from later days.
+    "known_frame": """
+        SELECT cardname, date, target,
+          last_value(price0 IGNORE NULLS) OVER (PARTITION BY cardname ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price0,
+          COALESCE(modratio,0) AS modratio, COALESCE(pioratio,0) AS pioratio, COALESCE(standratio,0) AS standratio
+        FROM {frame_gaps}""",
     "lagged": """
         SELECT cardname, date, target, lag(price0,7) OVER w AS price0, lag(modratio,7) OVER w AS modratio,
           lag(pioratio,7) OVER w AS pioratio, lag(standratio,7) OVER w AS standratio
@@ -148,3 +196,5 @@ TWINS = {
           SELECT customer, period_end FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY ts DESC, event_id DESC) AS rn
             FROM {effects} WHERE kind IN ('paused','resumed')) x WHERE rn=1) p ON p.customer=r.customer""",
 }
+
+TWINS |= _forecast("forecast", "hi - 7") | _forecast("ahead", "hi")
