@@ -393,7 +393,7 @@ def keep_first(
     text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).alias("text")
     several = all_.join(repeated, mine).select("row", "i", text, "keep")
     checked = several.mapInArrow(_checked(words), T.StructType([*several.schema.fields[:2], T.StructField("digest", T.BinaryType())]))
-    first = F.expr("row_number() OVER (PARTITION BY i, digest ORDER BY row)")
+    first = F.expr("row_number() OVER (PARTITION BY i, digest ORDER BY to_json(row))")
     once = checked.withColumn("place", first).filter("place = 1").select("row")
     return alone.unionByName(once).select("row.*")
 

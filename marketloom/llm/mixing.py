@@ -158,7 +158,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     on = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("size")) & F.col("s").eqNullSafe(F.col("source"))
     found = rows.join(stored(keys, "mix-copies").filter("all > 0"), on)
     alone = found.filter("same = 1").select("row", F.col("all").alias("times"))
-    place = F.expr("row_number() OVER (PARTITION BY i, n, s ORDER BY row)")
+    place = F.expr("row_number() OVER (PARTITION BY i, n, s ORDER BY to_json(row))")
     several = found.filter("same > 1").withColumn("place", place)
     share = F.floor(F.col("all") / F.col("same")) + (F.col("place") <= F.col("all") % F.col("same")).cast("bigint")
     dealt = alone.unionByName(several.select("row", share.alias("times"))).filter("times > 0")

@@ -52,13 +52,23 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     Repeated rows share all their bits and are cut into pieces of as many rows as
     fit. An empty table gives no rows; other columns are ignored.
     """
+    return _placed(_rows(docs, id_col, text_col), limit)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, *payload: Column) -> DataFrame:
     text = text_of(text_col)
-    rows = docs.select(
+    return docs.select(
         F.col(id_col).alias("doc_id"),
         F.octet_length(text).cast("bigint").alias("n_bytes"),
         F.xxhash64(F.col(id_col), text).alias("hash"),
+        *payload,
     )
+
+
+def _placed(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows with shard and depth in place of their hash."""
     rows = stored(rows, "shard-rows")
+    kept = [c for c in rows.columns if c != "hash"]
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     low, high = 0, min(ALL_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE_BITS)
     done, left = [], rows
@@ -67,12 +77,12 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
         cells = celled.groupBy("cell").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
         leaves = stored(_leaves(cells, low, high, limit), "shard-directory")
         placed = celled.join(leaves, "cell")
-        done.append(placed.select("doc_id", "n_bytes", _bits(F.col("leaf"), F.col("depth")).alias("shard"), "depth"))
+        done.append(placed.select(*kept, _bits(F.col("leaf"), F.col("depth")).alias("shard"), "depth"))
         left = stored(celled.join(leaves, "cell", "left_anti").select(*rows.columns), "shard-rest")
         if left.isEmpty():
             break
         if high == ALL_BITS:
-            done.append(_pieces(left, limit))
+            done.append(_pieces(left, kept, limit))
             break
         low, high = high + 1, min(ALL_BITS, high + MORE_BITS)
     out = done[0]
@@ -81,7 +91,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     return out
 
 
-def _pieces(left: DataFrame, limit: int) -> DataFrame:
+def _pieces(left: DataFrame, kept: list[str], limit: int) -> DataFrame:
     """Rows of one full hash, in pieces of as many rows as fit; ranked by range, not in one task."""
     ranked = global_rank(left, [F.col("hash"), F.col("n_bytes"), F.col("doc_id")], "rank")
     first = ranked.groupBy("hash").agg(F.min("rank").alias("first"), F.max("n_bytes").alias("most"))
@@ -89,10 +99,17 @@ def _pieces(left: DataFrame, limit: int) -> DataFrame:
     piece = F.floor((F.col("rank") - F.col("first")) / per).cast("string")
     name = F.concat(F.lpad(F.bin("hash"), ALL_BITS, "0"), F.lit("."), piece)
     joined = ranked.join(first, "hash")
-    return joined.select("doc_id", "n_bytes", name.alias("shard"), F.lit(ALL_BITS).alias("depth"))
+    return joined.select(*kept, name.alias("shard"), F.lit(ALL_BITS).alias("depth"))
+
 
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
+    """The documents, all their rows and columns, as one folder per shard.
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """The documents as one folder per shard. Identifiers must be distinct."""
-    names = assigned.select(F.col("doc_id").alias(id_col), "shard")
-    docs.join(names, id_col).repartition("shard").write.partitionBy("shard").parquet(path)
+    A row is carried to its shard, so null and repeated identifiers lose and add
+    nothing. Folders are named by ``shard``, or ``shard_`` if the documents have a
+    column of that name. An empty table writes no folder.
+    """
+    placed = _placed(_rows(docs, id_col, text_col, F.struct("*").alias("row")), limit)
+    name = "shard" if "shard" not in docs.columns else "shard_"
+    out = placed.select("row.*", F.col("shard").alias(name))
+    out.repartition(F.col(name)).write.partitionBy(name).parquet(path)
