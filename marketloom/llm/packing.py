@@ -26,7 +26,8 @@ from marketloom.llm.common import text_of
 CAPACITY = 4096
 END_ID = 2  # closes every document
 GROUP = 2048  # documents of one group, on average
-CACHED = 300_000  # words a worker keeps
+CACHED = 200_000  # words of each of the two generations a task keeps
+REMEMBERED = 1_000_000  # rows a task keeps in mind to tell repeated ones apart
 BATCH_CHARS = 4 << 20
 
 #: Letters whose lower case is one letter and that no composition changes.
@@ -44,7 +45,8 @@ class Words:
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are its words' ids in order. A word of letters and closing marks is its
-    letters' ids and its marks' ids. The caches are bounded and only save work.
+    letters' ids and its marks' ids. The caches are bounded and only save work: a
+    full one becomes the old generation, from which what is used again moves on.
     """
 
     def __init__(self, path: str):
@@ -56,8 +58,13 @@ class Words:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for word, number in vocab.items():
             self.ends[number] = word.endswith("</w>")
+        self.forget()
+
+    def forget(self) -> None:
         self.words: dict[str, bytes] = {"": b""}
         self.letters: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_letters: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,12 +81,12 @@ class Words:
             else:
                 self.letters.update((w, self.encode(w)) for w in some)
 
-    def learn(self, fresh: list[str]) -> None:
+    def learn(self, fresh: set[str]) -> None:
         split = [(w, SIMPLE.fullmatch(w)) for w in fresh]
-        if len(self.letters) > CACHED:
-            self.letters.clear()
-        lower = {m[1].lower() for _, m in split if m}
-        self.learn_letters([w for w in lower if w not in self.letters])
+        wanted = {m[1].lower() for _, m in split if m} - self.letters.keys()
+        again = wanted & self.old_letters.keys()
+        self.letters.update((w, self.old_letters[w]) for w in again)
+        self.learn_letters(list(wanted - again))
         for word, m in split:
             if m is None:
                 self.words[word] = self.encode(word)
@@ -93,10 +100,15 @@ class Words:
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > CACHED:
-            self.words = {"": b""}
-        fresh = {w for p in parts for w in p} - self.words.keys()
+            self.old_words, self.words = self.words, {"": b""}
+        if len(self.letters) > CACHED:
+            self.old_letters, self.letters = self.letters, {}
+        fresh = set().union(*parts) - self.words.keys()
+        again = fresh & self.old_words.keys()
+        self.words.update((w, self.old_words[w]) for w in again)
+        fresh -= again
         if fresh:
-            self.learn(list(fresh))
+            self.learn(fresh)
         words = self.words
         return [b"".join([words[w] for w in p]) for p in parts]
 
@@ -118,29 +130,35 @@ def _pieces(path: str, groups: int, capacity: int, id_type: pa.DataType, with_id
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(path), Counter()
         closing = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            names = batch.column(0)
-            for at, texts in _some(batch.column(1).to_pylist()):
-                rows: list[tuple] = []
-                for i, ids in enumerate(words.ids(texts)):
-                    ids += closing
-                    # Repeated rows go to different groups; rows alike are interchangeable,
-                    # so numbering them in a task gives the same groups on a retry.
-                    key = (names[at + i].as_py(), zlib.crc32(ids))
-                    seen[key] += 1
-                    group = xxhash.xxh3_64_intdigest(repr((key, seen[key]))) % groups
-                    total = len(ids) // 4
-                    for start in range(0, total, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((at + i, start, len(piece) // 4, zlib.crc32(piece), total, group, piece))
-                cols = list(zip(*rows))
-                out = [names.take(pa.array(cols[0], pa.int64())).cast(id_type)]
-                out += [pa.array(c, pa.int64()) for c in cols[1:6]]
-                fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pack_group"]
-                if with_ids:
-                    out.append(pa.array(cols[6], pa.binary()))
-                    fields.append("ids")
-                yield pa.RecordBatch.from_arrays(out, names=fields)
+        try:
+            for batch in batches:
+                names = batch.column(0)
+                for at, texts in _some(batch.column(1).to_pylist()):
+                    rows: list[tuple] = []
+                    for i, ids in enumerate(words.ids(texts)):
+                        ids += closing
+                        # Repeated rows go to different groups; rows alike are interchangeable,
+                        # so numbering them in a task gives the same groups on a retry. A long task
+                        # starts numbering anew, as every task does.
+                        if len(seen) > REMEMBERED:
+                            seen.clear()
+                        key = (names[at + i].as_py(), zlib.crc32(ids))
+                        seen[key] += 1
+                        group = xxhash.xxh3_64_intdigest(repr((key, seen[key]))) % groups
+                        total = len(ids) // 4
+                        for start in range(0, total, capacity):
+                            piece = ids[4 * start : 4 * (start + capacity)]
+                            rows.append((at + i, start, len(piece) // 4, zlib.crc32(piece), total, group, piece))
+                    cols = list(zip(*rows))
+                    out = [names.take(pa.array(cols[0], pa.int64())).cast(id_type)]
+                    out += [pa.array(c, pa.int64()) for c in cols[1:6]]
+                    fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pack_group"]
+                    if with_ids:
+                        out.append(pa.array(cols[6], pa.binary()))
+                        fields.append("ids")
+                    yield pa.RecordBatch.from_arrays(out, names=fields)
+        finally:
+            words.forget()  # later stages in this process have the memory back
 
     return pieces
 
