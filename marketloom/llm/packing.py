@@ -49,7 +49,7 @@ class Words:
     full one becomes the old generation, from which what is used again moves on.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -58,6 +58,7 @@ class Words:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for word, number in vocab.items():
             self.ends[number] = word.endswith("</w>")
+        self.cached = cached
         self.forget()
 
     def forget(self) -> None:
@@ -99,9 +100,9 @@ class Words:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHED:
+        if len(self.words) > self.cached:
             self.old_words, self.words = self.words, {"": b""}
-        if len(self.letters) > CACHED:
+        if len(self.letters) > self.cached:
             self.old_letters, self.letters = self.letters, {}
         fresh = set().union(*parts) - self.words.keys()
         again = fresh & self.old_words.keys()
@@ -126,9 +127,9 @@ def _some(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield at, run
 
 
-def _pieces(path: str, groups: int, capacity: int, id_type: pa.DataType, with_ids: bool):
+def _pieces(path: str, cached: int, groups: int, capacity: int, id_type: pa.DataType, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Words(path), Counter()
+        words, seen = Words(path, cached), Counter()
         closing = np.array([END_ID], "<u4").tobytes()
         try:
             for batch in batches:
@@ -213,6 +214,7 @@ def pack(
     capacity: int = CAPACITY,
     group: int = GROUP,
     ids: bool = False,
+    cached: int = CACHED,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; and the ids if asked.
 
@@ -220,6 +222,7 @@ def pack(
     id. Pieces are full sequences and one rest. Every id lies in exactly one
     piece; in a sequence the pieces lie without gaps from offset 0. Repeated rows
     are packed each; an empty table gives no rows; other columns are ignored.
+    ``cached`` words a task keeps: memory against speed, never the result.
     """
     path = path or tokenizer_path()
     one = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
@@ -232,7 +235,7 @@ def pack(
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(id_field.dataType)
-    pieces = one.mapInArrow(_pieces(path, groups, capacity, arrow, ids), T.StructType(fields))
+    pieces = one.mapInArrow(_pieces(path, cached, groups, capacity, arrow, ids), T.StructType(fields))
     kept = [f for f in fields if f.name != "pack_group"]
     out = T.StructType(kept + [T.StructField(n, T.LongType()) for n in ("sequence_id", "offset")])
     return pieces.groupBy("pack_group").applyInPandas(_pack(capacity), out)

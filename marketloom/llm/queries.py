@@ -55,7 +55,7 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(tune(spark), sf_dir, "documents"))
+    return packing.pack(table(tune(spark), sf_dir, "documents"), cached=350_000)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from marketloom.llm import jaccard, mixing, sharding, toxicity
+from marketloom.llm import jaccard, mixing, packing, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, source string, extra map<string,int>, shard string"
 
@@ -45,11 +45,8 @@ def test_features_of_a_long_text_depend_on_the_text_alone(spark):
     assert any(t == 1 and np.array_equal(f, alone[0][1]) for t, f, _ in among)
 
 
-def test_cached_words_do_not_change_ids(monkeypatch):
-    from marketloom.llm import packing
-
-    monkeypatch.setattr(packing, "CACHED", 20)
-    words = packing.Words(packing.tokenizer_path())
+def test_cached_words_do_not_change_ids():
+    words = packing.Words(packing.tokenizer_path(), cached=20)
     texts = ["Hello, World! caf\u00e9 naive 12 a.b", "hello world again; many other words come here now and then", "\u0130x K. HELLO"] * 9
     plain = words.tok
     for _ in range(3):
