@@ -106,8 +106,8 @@ def _digests(words: int):
             for s in make.sets(batch.column(1)):
                 sizes.append(len(s))
                 names.append(digest(s))
-            cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "digest"])
+            cols = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "n", "digest"])
 
     return digests
 
@@ -286,7 +286,7 @@ def _joined(bound: Bound):
 
 
 def _links(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, chunk: int) -> DataFrame:
-    """Pairs of digests (a, b) that connect all linking sets. ``docs``: doc_id, text; ``sets``: digest, n, doc_id, sid."""
+    """Pairs of digests (a, b) that connect all linking sets. ``docs``: doc_id, text, mark; ``sets``: digest, n, doc_id, mark, sid."""
     bits = _key_bits(docs.count())
     keys = docs.select("text").mapInArrow(_signed(words, bound, bits), "key long, sid long")
     # One shuffle of narrow rows; a key that one set has alone ends here.
@@ -296,8 +296,8 @@ def _links(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, chunk: in
 
     def texts(wanted: DataFrame) -> DataFrame:
         """One text of each set of ``wanted`` (sid, to); sets are made from it anew, they are wider than texts."""
-        ids = sets.join(wanted, "sid").select(F.col("doc_id").alias("its"), "digest", "to")
-        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("its"))).select("text", "digest", "to")
+        ids = sets.join(wanted, "sid").select(F.col("doc_id").alias("its"), F.col("mark").alias("its_mark"), "digest", "to")
+        return docs.join(ids, _same_row("doc_id", "mark")).select("text", "digest", "to")
 
     # Lists of one: a set with more shingles that no other has than a linking set
     # may lack links with nothing. Half of the shingles show most such sets.
@@ -325,14 +325,26 @@ def _links(docs: DataFrame, sets: DataFrame, words: int, bound: Bound, chunk: in
     return tasks.groupBy("block", "low", "high").applyInPandas(_joined(bound), "a binary, b binary")
 
 
+def _mark(text: str) -> Column:
+    """A hash of the whole text, so that rows are told apart where many have one identifier or none."""
+    return F.xxhash64(text)
+
+
+def _same_row(id_col: str, mark: str) -> Column:
+    return F.col(id_col).eqNullSafe(F.col("its")) & (F.col(mark) == F.col("its_mark"))
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, chunk: int):
-    """Rows (doc_id, n, digest) and the groups (digest, its component's first doc_id and digest)."""
-    one = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    """Rows (doc_id, mark, n, digest) and the groups (digest, its component's first doc_id and digest)."""
+    one = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("mark", _mark("text"))
     field = T.StructField("doc_id", one.schema["doc_id"].dataType)
-    schema = T.StructType([field, T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())])
-    rows = stored(one.mapInArrow(_digests(words), schema), "ngram-rows")
-    sets = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    sets = stored(sets.withColumn("sid", _sid(F.col("digest"))), "ngram-sets")
+    longs = [T.StructField(n, T.LongType()) for n in ("mark", "n")]
+    rows = one.mapInArrow(_digests(words), T.StructType([field, *longs, T.StructField("digest", T.BinaryType())]))
+    rows = stored(rows, "ngram-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("row")
+    sets = rows.filter("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"))
+    sets = sets.select("digest", "row.doc_id", "row.mark", "n", _sid(F.col("digest")).alias("sid"))
+    sets = stored(sets, "ngram-sets")
     links = stored(_links(one, sets, words, Bound(num, den), chunk), "ngram-links")
     roots = components(links).select(F.col("node").alias("digest"), "root")
     named = sets.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
@@ -379,32 +391,17 @@ def keep_first(
     """
     rows, groups = _grouped(docs, id_col, text_col, words, num, den, chunk)
     mine = (F.col("n") == 0) | ((F.col("digest") == F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    stays = rows.join(groups, "digest", "left").withColumn("stays", mine)
-    digests = F.collect_set(F.when(F.col("stays"), F.col("digest")))
-    by_id = stays.groupBy(F.col("doc_id").alias("its")).agg(F.count(F.lit(1)).alias("same"), digests.alias("keep"))
-    by_id = stored(by_id, "ngram-stays")
-    mine = F.col("i").eqNullSafe(F.col("its"))
-    all_ = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"))
+    stays = rows.join(groups, "digest", "left").filter(mine).groupBy("doc_id", "digest")
+    stays = stays.agg(F.min("mark").alias("its_mark"), F.count(F.lit(1)).alias("same"))
+    stays = stored(stays.select(F.col("doc_id").alias("its"), "its_mark", "same"), "ngram-stays")
+    same = _same_row("i", "m")
+    all_ = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), _mark(text_of(text_col)).alias("m"))
     # What goes is the smaller part; written by itself its true size is known, and where that is small texts need no shuffle.
-    goes = stored(by_id.filter((F.col("same") > 1) | (F.size("keep") == 0)).select("its"), "ngram-goes")
-    alone = all_.join(goes, mine, "left_anti").select("row")
-    # Several rows of one identifier: only those whose text is the one kept, once each.
-    repeated = stored(by_id.filter((F.col("same") > 1) & (F.size("keep") > 0)), "ngram-repeated")
-    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).alias("text")
-    several = all_.join(repeated, mine).select("row", "i", text, "keep")
-    checked = several.mapInArrow(_checked(words), T.StructType([*several.schema.fields[:2], T.StructField("digest", T.BinaryType())]))
-    first = F.expr("row_number() OVER (PARTITION BY i, digest ORDER BY to_json(row))")
-    once = checked.withColumn("place", first).filter("place = 1").select("row")
+    goes = rows.select(F.col("doc_id").alias("i"), F.col("mark").alias("m")).distinct().join(stays.filter("same = 1"), same, "left_anti")
+    goes = stored(goes.select(F.col("i").alias("its"), F.col("m").alias("its_mark")), "ngram-goes")
+    alone = all_.join(goes, same, "left_anti").select("row")
+    # Several rows of one identifier and set: one of those with the least mark.
+    several = all_.join(stored(stays.filter("same > 1"), "ngram-repeated"), same, "left_semi")
+    first = F.expr("row_number() OVER (PARTITION BY i, m ORDER BY to_json(row))")
+    once = several.withColumn("place", first).filter("place = 1").select("row")
     return alone.unionByName(once).select("row.*")
-
-
-def _checked(words: int):
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(words)
-        for batch in batches:
-            names = [digest(s) for s in make.sets(batch.column(2))]
-            keep = pa.array([n in k for n, k in zip(names, batch.column(3).to_pylist())], pa.bool_())
-            cols = [batch.column(0), batch.column(1), pa.array(names, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "i", "digest"]).filter(keep)
-
-    return checked

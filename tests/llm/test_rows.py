@@ -51,3 +51,18 @@ def test_cached_words_do_not_change_ids():
     plain = words.tok
     for _ in range(3):
         assert words.ids(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_near_dedup_of_many_rows_without_identifier(spark):
+    def text(i, j):
+        return " ".join(f"w{i}x{k}" for k in range(40)) + f" end{j}" * (j > 0)
+
+    texts = [text(i, j) for i in range(60) for j in range(5)] + [text(0, 0)] * 50 + ["", " ", "\n"] * 20
+    none = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    one = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")
+    for table in (none, one):
+        kept = [r.text for r in jaccard.keep_first(table, words=5).collect()]
+        assert sum(1 for t in kept if not t.strip()) == 1
+        assert sorted(t.split()[0] for t in kept if t.strip()) == sorted(f"w{i}x0" for i in range(60))
+    got = jaccard.ngram_components(none, words=5).collect()
+    assert Counter(r.n_shingles for r in got) == Counter([0] * 60 + [36] * 110 + [37] * 240)
