@@ -9,6 +9,7 @@ over the free capacities finds that sequence in logarithmic time.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,10 @@ REMEMBERED = 1_000_000  # rows a task keeps in mind to tell repeated ones apart
 BATCH_CHARS = 4 << 20
 
 #: Letters whose lower case is one letter and that no composition changes.
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%&#$|)]*)")
+SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = ".,;:!?*%&#$|)"
+#: Words that show whether a tokenizer takes runs of letters as they are.
+PROBES = ("hello", "abcdefghijklmnopqrstuvwxyz", "straße", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
 
 
 def tokenizer_path() -> str:
@@ -40,6 +44,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def simple(word: str) -> tuple[str, str] | None:
+    """The letters, in lower case, and the closing marks of a word that is nothing else."""
+    letters = word.rstrip(MARKS)
+    plain = letters.isalpha() if letters.isascii() else SIMPLE.fullmatch(letters)
+    return (letters.lower(), word[len(letters) :]) if plain else None
+
+
 class Words:
     """Token ids of texts as little-endian bytes, one look-up per word.
 
@@ -50,14 +61,14 @@ class Words:
     """
 
     def __init__(self, path: str, cached: int = CACHED):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        for word, number in vocab.items():
-            self.ends[number] = word.endswith("</w>")
+        self.model = self.tok.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.units = {n: as_bytes.pre_tokenize_str(chr(n))[0][0] for n in range(0xC0, 0x100)}
+        self.direct = all(self.unit(w) == self.encode(w) for w in PROBES)
         self.cached = cached
         self.forget()
 
@@ -70,33 +81,31 @@ class Words:
     def encode(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn_letters(self, fresh: list[str]) -> None:
-        """Each run of letters is one unit to the tokenizer and ends with an end-of-word token."""
-        for at in range(0, len(fresh), 5000):
-            some = fresh[at : at + 5000]
-            ids = np.frombuffer(self.encode(" ".join(some)), "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                starts = np.concatenate([[0], cuts[:-1]])
-                self.letters.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, starts, cuts))
-            else:
-                self.letters.update((w, self.encode(w)) for w in some)
+    def unit(self, letters: str) -> bytes:
+        """Ids of a lower-case run of letters, straight from the model: it is one unit and nothing in it changes."""
+        if not letters.isascii():
+            letters = letters.translate(self.units)
+        ids = [token.id for token in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, fresh: set[str]) -> None:
-        split = [(w, SIMPLE.fullmatch(w)) for w in fresh]
-        wanted = {m[1].lower() for _, m in split if m} - self.letters.keys()
+        split = [(w, simple(w)) for w in fresh]
+        wanted = {found[0] for _, found in split if found} - self.letters.keys()
         again = wanted & self.old_letters.keys()
         self.letters.update((w, self.old_letters[w]) for w in again)
-        self.learn_letters(list(wanted - again))
-        for word, m in split:
-            if m is None:
-                self.words[word] = self.encode(word)
-            elif not m[2]:
-                self.words[word] = self.letters[m[1].lower()]
+        ids_of = self.unit if self.direct else self.encode
+        self.letters.update((w, ids_of(w)) for w in wanted - again)
+        words, letters = self.words, self.letters
+        for word, found in split:
+            if found is None:
+                words[word] = self.encode(word)
+            elif not found[1]:
+                words[word] = letters[found[0]]
             else:
-                if m[2] not in self.words:
-                    self.words[m[2]] = self.encode(m[2])
-                self.words[word] = self.letters[m[1].lower()] + self.words[m[2]]
+                marks = words.get(found[1])
+                if marks is None:
+                    marks = words[found[1]] = self.encode(found[1])
+                words[word] = letters[found[0]] + marks
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]

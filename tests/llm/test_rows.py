@@ -66,3 +66,15 @@ def test_near_dedup_of_many_rows_without_identifier(spark):
         assert sorted(t.split()[0] for t in kept if t.strip()) == sorted(f"w{i}x0" for i in range(60))
     got = jaccard.ngram_components(none, words=5).collect()
     assert Counter(r.n_shingles for r in got) == Counter([0] * 60 + [36] * 110 + [37] * 240)
+
+
+def test_runs_of_letters_have_the_tokenizers_ids():
+    words = packing.Words(packing.tokenizer_path())
+    assert words.direct
+    rng = np.random.default_rng(3)
+    alphabet = list("abcdefghijklmnopqrstuvwxyzABCXYZàéîõüßøæçñÀÉÑÿ")
+    made = ["".join(rng.choice(alphabet, rng.integers(1, 14))) + str(rng.choice(["", ".", "?!", "),"])) for _ in range(3000)]
+    assert words.ids(made) == [words.encode(w) for w in made]
+    words.direct = False
+    words.forget()
+    assert words.ids(made) == [words.encode(w) for w in made]
