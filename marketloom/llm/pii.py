@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.binding import bind
 from marketloom.llm.common import text_of
-from marketloom.llm.toxicity import _part
 from marketloom.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -51,7 +50,8 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 FEATURES = (
     "kind", "digits", "chars", "marks", "runs", "bracket", "dots", "letters", "free_before", "free_after", "cue",
 )
-SAMPLED_DOCS, SAMPLED_SPANS = 20_000, 50_000  # at most about so many are learnt from
+#: All candidates are learnt from. A caller with no time for that may set about how many at most.
+SAMPLED_SPANS: int | None = None
 TREES, DEPTH = 8, 3
 PRECISION = 0.95  # asked of a threshold on held-out candidates
 BLOCK = 256
@@ -275,24 +275,27 @@ def _spread(rows: DataFrame, most: int) -> DataFrame:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """The model, from the candidates of a bounded sample of documents; None if they are all alike."""
+    """The model, from the candidates of all documents; None if they are all alike."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    some = _part(docs.select(F.col(id_col).alias("i"), text_of(text_col).alias("text")), "i", SAMPLED_DOCS)
+    every = docs.select(F.col(id_col).alias("i"), text_of(text_col).alias("text"))
 
     def others(base: Column, wide: Column) -> Column:
         return F.filter(wide, lambda c: _apart(c, base))
 
     text = F.col("text")
-    good = some.select("i", F.explode(_examples(text)).alias("c")).select("i", "c.*", F.lit(1.0).alias("label"))
-    wide = some.select("i", F.explode(bind(others, base=_base(text), wide=_candidates(text))).alias("c"))
+    good = every.select("i", F.explode(_examples(text)).alias("c")).select("i", "c.*", F.lit(1.0).alias("label"))
+    wide = every.select("i", F.explode(bind(others, base=_base(text), wide=_candidates(text))).alias("c"))
     wide = wide.select("i", "c.kind", "c.start", "c.f", F.lit(1.0).alias("weight"), F.lit(0.0).alias("label"))
-    rows = _spread(good.unionByName(wide), SAMPLED_SPANS)
+    rows = good.unionByName(wide)
+    rows = rows if SAMPLED_SPANS is None else _spread(rows, SAMPLED_SPANS)
     check = F.pmod(F.xxhash64("i", "start"), F.lit(4)) == 0  # all forms of a span on one side
     rows = rows.select("f.*", "weight", "label", check.alias("check"))
-    rows = stored(rows, "pii-candidates")
-    seen = {r[0]: r[1] for r in rows.filter("NOT check").groupBy("label").count().collect()}
+    # Candidates alike in all that is learnt are one row of their common weight: the trees hold no copies.
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(rows.withColumn("weight", F.col("weight") * F.col("n")), "pii-candidates")
+    seen = {r[0]: r[1] for r in rows.filter("NOT check").groupBy("label").agg(F.sum("n")).collect()}
     if len(seen) < 2 or min(seen.values()) < 5:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)

@@ -252,6 +252,16 @@ def test_pii_samples_all_documents(spark, monkeypatch):
     assert max(s for _, k, s in got if k == 3) > 4000
 
 
+def test_pii_learns_from_all_documents(spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(pii, "stored", lambda rows, label: learnt.append(rows) or rows)
+    text = F.concat(F.lit("write a"), F.col("id"), F.lit("@b.com or 12345678, "))
+    model = pii.train(spark.range(24_000).select(F.col("id").alias("doc_id"), text.alias("text")))
+    got = {(r.kind, r.label): r.n for r in learnt[0].groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
+    assert model is not None and got == {(0.0, 1.0): 48_000, (3.0, 0.0): 24_000}  # each address in both its forms
+    assert learnt[0].count() < 100
+
+
 def test_shards(spark, docs, empty):
     rows = [(i, "x" * (i % 90)) for i in range(800)] + [(5000, "same text")] * 300 + [(6000, "y" * 5000)]
     got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), limit=1000).collect()
