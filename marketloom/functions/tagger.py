@@ -135,11 +135,11 @@ def set_code(text: Column, name: Column, by_alias: Column, by_code: Column, by_n
 
 def sale_type(spans: Column) -> Column:
     """Kind of sale from the price spans ``array<struct<cls,text>>`` of a listing."""
-    return _by_price_class(spans)["saletype"]
+    return by_price_class(spans)["saletype"]
 
 
 def sale_price(spans: Column) -> Column:
-    return scalars.numeric_text(_by_price_class(spans)["text"])
+    return scalars.numeric_text(by_price_class(spans)["text"])
 
 
 # Markup classes of a price, by precedence, and the sale type each one means.
@@ -156,17 +156,18 @@ def _has_class(cls: str):
     """A one-word class matches any element that carries it, a longer one only as a whole."""
     if " " in cls:
         return lambda s: s["cls"] == cls
-    return lambda s: F.array_contains(F.split(s["cls"], r"\s+"), cls)
+    return lambda s: s["cls"].rlike(rf"(?<!\S){cls}(?!\S)")
 
 
-def _by_price_class(spans: Column) -> Column:
-    choices = []
-    for cls, sale in PRICE_CLASSES:
-        hits = F.filter(spans, _has_class(cls))
-        choices.append(
-            F.when(F.size(hits) == 1, F.struct(F.lit(sale).alias("saletype"), F.get(hits, F.lit(0))["text"].alias("text")))
-        )
-    return F.coalesce(*choices)
+def by_price_class(spans: Column) -> Column:
+    """Kind of sale and text of the one span of the first class that has just one."""
+
+    def choice(hits: Column, sale: str) -> Column:
+        only = F.struct(F.lit(sale).alias("saletype"), F.get(hits, F.lit(0))["text"].alias("text"))
+        return F.when(F.size(hits) == 1, only)
+
+    found = [bind(lambda hits, sale=sale: choice(hits, sale), hits=F.filter(spans, _has_class(cls))) for cls, sale in PRICE_CLASSES]
+    return F.coalesce(*found)
 
 
 def tag(df: DataFrame, strict: bool = False) -> DataFrame:

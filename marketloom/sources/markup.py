@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from html import unescape
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars, tagger
+from marketloom.sources.elements import Elements, has_class, read, slices
+from marketloom.sources.elements import elements as _elements  # noqa: F401 - of one page
 
 # Markup of the pages.
 ITEM_CLASS = "s-item__info clearfix"
@@ -33,22 +34,8 @@ LISTING_FIELDS = {
     "shipping_text": "string",
 }
 
-
-# One scan of a page visits only these tags; comments and scripts are stepped over.
-_TOKEN = re.compile(
-    r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<(/?)(div|span|table|a|tr|th|td)\b([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>",
-    re.I | re.S,
-)
-_ATTRIBUTE = re.compile(r"""([\w-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _ANY_TAG = re.compile(r"<[^>]*>")
 _ONE_CHILD = re.compile(r"<([a-z][\w-]*)\b[^>]*>(.*)</\1\s*>", re.I | re.S)
-# What an opening tag ends, back to the innermost table.
-_ENDS = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
-
-
-@lru_cache(maxsize=4096)
-def _attributes(text: str) -> dict[str, str]:
-    return {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)}
 
 
 def _plain_text(markup: str) -> str:
@@ -65,91 +52,57 @@ def _only_text(markup: str) -> str | None:
     return unescape(markup) or None
 
 
-class _Element:
-    """``start`` and ``end`` bound the content; ``parent`` is a position in the page's list, or -1."""
-
-    __slots__ = ("tag", "attributes", "start", "end", "parent")
-
-    def __init__(self, tag: str, attributes: dict[str, str], start: int, end: int, parent: int) -> None:
-        self.tag, self.attributes, self.start, self.end, self.parent = tag, attributes, start, end, parent
-
-    def has(self, cls: str) -> bool:
-        """A one-word class is one of the element's, a longer one is all of them."""
-        own = self.attributes.get("class", "")
-        return own == cls or (" " not in cls and cls in own.split())
-
-    def first_text(self, html: str) -> str:
-        """The text before the first element inside."""
-        cut = html.find("<", self.start, self.end)
-        return unescape(html[self.start : self.end if cut < 0 else cut])
-
-
-def _elements(html: str) -> list[_Element]:
-    """Elements of the page in document order, with what encloses them.
-
-    Cells and rows may lack their end tag: the next one ends them.
-    """
-    found: list[_Element] = []
-    open_: list[int] = []
-    # Per tag the depths at which it is open, so an end tag finds its opener, or that it has none, at once.
-    depths: dict[str, list[int]] = defaultdict(list)
-
-    def cut(depth: int, at: int) -> None:
-        for i in open_[depth:]:
-            found[i].end = at
-            depths[found[i].tag].pop()
-        del open_[depth:]
-
-    def floor(tag: str) -> int:
-        """Cells and rows end inside the innermost table only."""
-        return depths["table"][-1] if tag in _ENDS and depths["table"] else -1
-
-    for token in _TOKEN.finditer(html):
-        closing, tag, attributes = token.groups()
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if closing:
-            if depths[tag] and depths[tag][-1] > floor(tag):
-                cut(depths[tag][-1], token.start())
-            continue
-        if tag in _ENDS:
-            least = floor(tag)
-            ends = [d[k] for d in map(depths.__getitem__, _ENDS[tag]) if (k := bisect_right(d, least)) < len(d)]
-            if ends:
-                cut(min(ends), token.start())
-        found.append(_Element(tag, _attributes(attributes), token.end(), len(html), open_[-1] if open_ else -1))
-        if not attributes.endswith("/"):
-            depths[tag].append(len(open_))
-            open_.append(len(found) - 1)
-    return found
-
-
-def _listings(html: str) -> list[tuple]:
-    """``position, title, date, spans, shipping`` of every item of a page but the first."""
-    items: list[dict] = []
-    around: list[tuple] = []  # per element: the item, price box and date box it lies in
-    for i, e in enumerate(_elements(html)):
-        item, price, date = around[e.parent] if e.parent >= 0 else (None, None, None)
-        if e.tag == "div" and e.has(ITEM_CLASS):
-            items.append({"title": None, "date": None, "spans": [], "shipping": None, "price": None})
-            around.append((items[-1], None, date))
-            continue
-        around.append((item, i if e.tag == "span" and e.has(PRICE_BOX_CLASS) else price, date or e.has(DATE_BOX_CLASS)))
-        if item is None or e.tag not in ("div", "span"):
-            continue
-        content = html[e.start : e.end]
-        if e.tag == "div" and e.has(TITLE_CLASS):
-            item["title"] = content if item["title"] is None else item["title"]
-        elif e.tag == "span" and e.has(PRICE_BOX_CLASS):
-            item["price"] = i if item["price"] is None else item["price"]
-        elif e.tag == "span" and e.has(SHIPPING_CLASS):
-            item["shipping"] = _plain_text(content) if item["shipping"] is None else item["shipping"]
-        elif e.tag == "span" and price is not None and price == item["price"] and "class" in e.attributes:
-            item["spans"].append({"cls": e.attributes["class"], "text": _plain_text(content)})
-        elif e.tag == "span" and e.has(DATE_CLASS) and item["date"] is None and date:
-            item["date"] = _plain_text(content)
-    return [(n, _only_text(x["title"] or ""), x["date"], x["spans"], x["shipping"]) for n, x in enumerate(items) if n]
+def _items_of(html: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of all items but the first of each page: the page, and the columns LISTING_FIELDS."""
+    e = read(html)
+    none = len(e.page)
+    has = lambda cls: e.has(lambda own: has_class(own, cls))
+    div, span = e.is_tag("div"), e.is_tag("span")
+    is_item, price_box = div & has(ITEM_CLASS), span & has(PRICE_BOX_CLASS)
+    item, date_box = e.around(is_item), e.around(has(DATE_BOX_CLASS) & ~is_item)
+    price = e.around(is_item | price_box)  # the price box, if not the item
+    inside = (item < none) & ~is_item
+    shipping = inside & span & ~price_box & has(SHIPPING_CLASS)
+    other = inside & span & ~price_box & ~has(SHIPPING_CLASS)
+
+    def first(marked: np.ndarray) -> np.ndarray:
+        """By item, the first marked element in it."""
+        of, at = np.full(none + 1, none), np.flatnonzero(marked)[::-1]
+        of[item[at]] = at
+        return of
+
+    spans = other & (price < none) & (price == first(inside & price_box)[item]) & e.has(lambda own: "class" in own)
+    spans &= ~np.append(is_item, False)[price]
+    dates = other & ~spans & has(DATE_CLASS) & (date_box < none)
+
+    items = np.flatnonzero(is_item)
+    page = e.page[items]
+    position = np.arange(len(items)) - np.searchsorted(page, page)
+    items, page, position = (x[position > 0] for x in (items, page, position))
+
+    def texts(marked: np.ndarray, read_text) -> pa.Array:
+        at = first(marked)[items]
+        there = at < none
+        return _each(e.texts(at[there]), read_text).take(pa.array(np.cumsum(there) - 1, mask=~there))
+
+    # Spans in the order of their items; an item may lie in another one.
+    of = np.flatnonzero(spans)
+    of = of[np.isin(item[of], items)]
+    of = of[np.argsort(item[of], kind="stable")]
+    counts = np.bincount(np.searchsorted(items, item[of]), minlength=len(items))
+    classes = pa.array([own.get("class") for own in e.attributes], pa.string()).take(pa.array(e.kind[of]))
+    written = pa.StructArray.from_arrays([classes, _each(e.texts(of), _plain_text)], ["cls", "text"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), written)
+    title = texts(inside & div & has(TITLE_CLASS), _only_text)
+    title = pc.if_else(pc.equal(title, ""), None, title)
+    return page, [pa.array(position, pa.int32()), title, texts(dates, _plain_text), lists, texts(shipping, _plain_text)]
+
+
+def _each(texts: pa.Array, read_text) -> pa.Array:
+    """``read_text`` of each text; one without markup or references it leaves as it is."""
+    special = pc.or_(pc.match_substring(texts, "<"), pc.match_substring(texts, "&"))
+    found = [read_text(t) for t in texts.filter(special).to_pylist()]
+    return pc.replace_with_mask(texts, special, pa.array(found, pa.string())) if found else texts
 
 
 def listing_items(pages: DataFrame) -> DataFrame:
@@ -160,28 +113,34 @@ def listing_items(pages: DataFrame) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in pages.schema.fields if f.name != "html"}
     keys = list(types)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [_listings(html or "") for html in batch["html"]]
-            out = batch[keys].loc[batch.index.repeat([len(x) for x in found])].reset_index(drop=True)
-            columns = list(zip(*[item for items in found for item in items])) or [()] * len(LISTING_FIELDS)
-            for name, column in zip(LISTING_FIELDS, columns):
-                out[name] = pd.Series(list(column), dtype="int32" if name == "position" else "object")
-            yield out
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            page, columns = _items_of(part.column("html"))
+            kept = part.select(keys).take(pa.array(page))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*keys, *LISTING_FIELDS])
 
     schema = ", ".join(f"`{k}` {t}" for k, t in (types | LISTING_FIELDS).items())
-    return pages.select(*keys, "html").mapInPandas(parse, schema)
+    return pages.select(*keys, "html").mapInArrow(parse, schema)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their pages are long."""
+    for batch in batches:
+        for low, high in slices(batch.column("html")):
+            yield batch.slice(low, high - low)
 
 
 def typed_items(items: DataFrame) -> DataFrame:
     """Raw texts of items as typed values: day, sale type, price and shipping."""
     values = {
         "carddate": scalars.sold_date(F.col("date_text")),
-        "saletype": tagger.sale_type(F.col("spans")),
-        "price": tagger.sale_price(F.col("spans")),
+        "saletype": F.col("_sale.saletype"),
+        "price": scalars.numeric_text(F.col("_sale.text")),
         "shipping": scalars.shipping_amount(F.col("shipping_text")),
     }
-    return items.withColumns(values).drop("date_text", "spans", "shipping_text")
+    # The span that counts is looked for once.
+    sold = items.withColumn("_sale", tagger.by_price_class(F.col("spans")))
+    return sold.withColumns(values).drop("date_text", "spans", "shipping_text", "_sale")
 
 
 def listing_rows(pages: DataFrame) -> DataFrame:
@@ -214,36 +173,52 @@ def result_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-def _in_region(html: str, container: tuple[str, str, str], wanted: list[tuple[str, str | None, str | None]], read) -> list[list]:
-    """What ``read`` takes from the wanted elements inside the first matching container."""
+def _in_region(html: pa.Array, container: tuple[str, str, str], wanted: list[tuple[str, str | None, str | None]], read_texts) -> list[pa.Array]:
+    """By page, lists of what ``read_texts`` takes from the wanted elements inside the first matching container."""
+    e = read(html)
 
-    def matches(e: _Element, want: tuple[str, str | None, str | None]) -> bool:
+    def matches(want: tuple[str, str | None, str | None]) -> np.ndarray:
         tag, attribute, value = want
-        return e.tag == tag and (attribute is None or value in e.attributes.get(attribute, "").split())
+        return e.is_tag(tag) & e.has(lambda own: attribute is None or value in own.get(attribute, "").split())
+
+    regions = np.flatnonzero(matches(container))
+    pages, first = np.unique(e.page[regions], return_index=True)
+    low, high = np.zeros(len(html), np.int64), np.zeros(len(html), np.int64)
+    low[pages], high[pages] = e.start[regions[first]], e.end[regions[first]]
+    inside = (low[e.page] <= e.start) & (e.start < high[e.page])
+    inside[regions[first]] = False
+
+    def lists(want: tuple[str, str | None, str | None]) -> pa.Array:
+        which = np.flatnonzero(inside & matches(want))
+        counts = np.bincount(e.page[which], minlength=len(html))
+        ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+        return pa.ListArray.from_arrays(ends, read_texts(e, which))
+
+    return [lists(want) for want in wanted]
+
+
+def _first_texts(e: Elements, which: np.ndarray) -> pa.Array:
+    """Of each element the text before the first one inside."""
+    return _each(e.texts(which), lambda text: unescape(text.partition("<")[0]))
+
 
-    elements = _elements(html)
-    region = next((e for e in elements if matches(e, container)), None)
-    inside = [e for e in elements if region is not None and region.start <= e.start < region.end]
-    inside = [e for e in inside if e is not region]
-    return [[read(e, html) for e in inside if matches(e, want)] for want in wanted]
+def _targets(e: Elements, which: np.ndarray) -> pa.Array:
+    return pa.array([e.attributes[k].get("href") for k in e.kind[which].tolist()], pa.string())
 
 
-def _page_lists(pages: DataFrame, container, wanted, read, schema: str) -> DataFrame:
-    """Per page, the arrays ``read`` takes from the wanted elements."""
+def _page_lists(pages: DataFrame, container, wanted, read_texts, schema: str) -> DataFrame:
+    """Per page, the arrays ``read_texts`` takes from the wanted elements."""
     fields = [f.split()[0] for f in schema.split(", ")]
     types = {f.name: f.dataType.simpleString() for f in pages.schema.fields if f.name != "html"}
     keys = list(types)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lists = [_in_region(html or "", container, wanted, read) for html in batch["html"]]
-            out = batch[keys].reset_index(drop=True)
-            for i, field in enumerate(fields):
-                out[field] = [row[i] for row in lists]
-            yield out
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            lists = _in_region(part.column("html"), container, wanted, read_texts)
+            yield pa.RecordBatch.from_arrays([*part.select(keys).columns, *lists], names=[*keys, *fields])
 
-    full = ", ".join([f"{k} {t}" for k, t in types.items()] + [schema])
-    return pages.mapInPandas(parse, full)
+    full = ", ".join([f"`{k}` {t}" for k, t in types.items()] + [schema])
+    return pages.select(*keys, "html").mapInArrow(parse, full)
 
 
 def deck_links(pages: DataFrame, mark: str = DECK_MARK) -> DataFrame:
@@ -253,7 +228,7 @@ def deck_links(pages: DataFrame, mark: str = DECK_MARK) -> DataFrame:
         pages,
         ("table", "class", "table-tournament"),
         [("a", None, None)],
-        lambda e, html: e.attributes.get("href"),
+        _targets,
         "hrefs array<string>",
     )
     links = lists.select(*keys, F.posexplode("hrefs").alias("position", "href"))
@@ -272,7 +247,7 @@ def deck_cards(pages: DataFrame) -> DataFrame:
         pages,
         ("div", "id", "tab-paper"),
         [("a", "rel", "popover"), ("td", "class", "text-right")],
-        lambda e, html: e.first_text(html),
+        _first_texts,
         "names array<string>, counts array<string>",
     )
     whole = F.filter(F.transform("counts", lambda c: F.trim(c).try_cast("int")), lambda c: c.isNotNull())

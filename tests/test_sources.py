@@ -5,11 +5,12 @@ import time
 import zipfile
 
 from conftest import rows
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketloom import sinks
 from marketloom.operators import incremental
-from marketloom.sources import documents, files, markup
+from marketloom.sources import documents, elements, files, markup
 
 D = dt.date
 
@@ -78,6 +79,30 @@ def test_broken_markup(spark):
     assert _listings(spark, html) == []
 
 
+def test_pages_read_together_are_as_read_alone(monkeypatch):
+    pages = [
+        ITEM * 2, None, "", f"<p>é{ITEM}😀<!-- {ITEM} --><script>'<div>'</script >{ITEM}", ITEM + f"<div>{ITEM}</span>",
+        ITEM + ITEM.replace("<span>", "<span/>").replace('"POSITIVE"', "'POSITIVE'") + ITEM.replace("<div ", '<DIV title="a>b" '),
+        f"<table><tr><td>{ITEM}<td>{ITEM}</table>", ITEM.replace("Thoughtseize", "<b>A &amp; B</b>") + ITEM[:-6] + ITEM + "</div>",
+        "<div>" * 70 + ITEM + ITEM + "</div>" * 70, "<span>a", ITEM + ITEM.replace("English", "&lt;é"),
+    ]
+    html = pa.array(pages, pa.string()).slice(1)
+    found = lambda: [x.tolist() if hasattr(x, "tolist") else [c.to_pylist() for c in x] for x in markup._items_of(html)]
+    together = found()
+    monkeypatch.setattr(elements, "DEEPEST", 0)  # every page with a tag is scanned by itself
+    assert together == found() and len(together[0]) == 9
+
+
+def test_pages_in_order_are_read_at_once():
+    html = pa.array([f"<html><ul>{ITEM * 3}</ul></html>"] * 3000)
+    start = time.process_time()
+    assert len(markup._items_of(html)[0]) == 6000
+    together, start = time.process_time() - start, time.process_time()
+    for page in html.to_pylist():
+        markup._elements(page)
+    assert 2 * together < time.process_time() - start
+
+
 def test_deck_page(spark):
     html = """<div id="tab-online"><a rel="popover">No</a></div>
       <div class="x" id="tab-paper"><div><table><td class="text-right"> 4 </td><a rel="popover" href="#">One &amp; Two</a>
