@@ -103,6 +103,19 @@ def test_pages_in_order_are_read_at_once():
     assert 2 * together < time.process_time() - start
 
 
+def test_deck_pages_are_read_at_once():
+    row = '<td class="text-right">4</td><td><a rel="popover" href="/c">A &amp; B</a></td>'
+    html = pa.array([f'<div id="tab-online">{row}</div><div id="tab-paper"><table><tr>{row * 9}</tr></table></div>'] * 3000)
+    wanted = [("a", "rel", "popover"), ("td", "class", "text-right")]
+    start = time.process_time()
+    names, counts = markup._in_region(html, ("div", "id", "tab-paper"), wanted, markup._first_texts)
+    together, start = time.process_time() - start, time.process_time()
+    assert names[2999].as_py() == ["A & B"] * 9 and counts[0].as_py() == ["4"] * 9
+    for page in html.to_pylist():
+        markup._elements(page)
+    assert 2 * together < time.process_time() - start
+
+
 def test_deck_page(spark):
     html = """<div id="tab-online"><a rel="popover">No</a></div>
       <div class="x" id="tab-paper"><div><table><td class="text-right"> 4 </td><a rel="popover" href="#">One &amp; Two</a>
