@@ -17,7 +17,8 @@ from marketloom.streaming import ingest
 from marketloom.streaming.files import file_stream
 
 PART = 25  # items of one page
-FILES = 3  # files the input is cut into, each a batch of its own
+BATCHES = 3  # batches the input is cut into
+FILE_ITEMS = 250_000  # items of one file of pages, about
 
 # --- sales ---------------------------------------------------------------------------
 
@@ -48,13 +49,19 @@ def search_pages(m: Market) -> DataFrame:
     return pages.withColumn("fetched", F.col("fetched") + F.make_dt_interval(mins="copy"))
 
 
-def stored_sales(m: Market, files: int = FILES) -> DataFrame:
-    """All sales after a run over the pages, in ``files`` batches, that goes on from an earlier run's."""
+def files_per_batch(m: Market, batches: int) -> int:
+    """Files of a batch: as many as keep a file, and the task that writes it, the same size for any number of sales."""
+    return max(1, round(m["lineitem"].count() / (FILE_ITEMS * batches)))
+
+
+def stored_sales(m: Market, batches: int = BATCHES) -> DataFrame:
+    """All sales after a run over the pages, in ``batches`` batches, that goes on from an earlier run's."""
     pages, out, checkpoint = (work_path(m.spark, f"sales-{x}") for x in ("pages", "out", "checkpoint"))
-    search_pages(m).repartition(files, "search_id", "part", "copy").drop("copy").write.parquet(pages)
+    files = files_per_batch(m, batches)
+    search_pages(m).repartition(batches * files, "search_id", "part", "copy").drop("copy").write.parquet(pages)
     earlier = m.derive(STORED_SALES).to(ingest.T.StructType.fromDDL(ingest.SALE))
     earlier.write.parquet(f"{out}/batch=-1")
-    stream = file_stream(m.spark, pages, m.spark.read.parquet(pages).schema, files_per_batch=1)
+    stream = file_stream(m.spark, pages, m.spark.read.parquet(pages).schema, files_per_batch=files)
     codes = names.sets_since(m["sets"], SINCE_SET)
     ingest.ingest_sale_pages(stream, sets_per_card(m), m["cards"], codes, out, checkpoint, AS_OF)
     return m.spark.read.parquet(out).drop("batch")

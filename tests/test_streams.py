@@ -134,6 +134,18 @@ def test_sale_pages_in_any_cut(spark, market):
     assert len(whole) > 150 and rows(queries_jobs.stored_sales(market, 16)) == whole
 
 
+def test_files_of_pages_grow_in_number_not_in_size(market, monkeypatch):
+    sales = market["lineitem"].count()
+    assert queries_jobs.files_per_batch(market, 3) == 1
+    monkeypatch.setattr(queries_jobs, "FILE_ITEMS", sales // 12)
+    assert queries_jobs.files_per_batch(market, 3) == 4
+    given = []
+    stream = lambda spark, path, *more, **named: given.append(spark.read.parquet(path)) or file_stream(spark, path, *more, **named)
+    monkeypatch.setattr(queries_jobs, "file_stream", stream)
+    assert queries_jobs.stored_sales(market).count() > 150
+    assert len(given[0].inputFiles()) == 12
+
+
 def _page(search, card, part, items, minute=0):
     """Items are day, title, price; the first of a page is no listing."""
     item = (
