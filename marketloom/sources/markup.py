@@ -35,6 +35,8 @@ LISTING_FIELDS = {
 }
 
 _ANY_TAG = re.compile(r"<[^>]*>")
+# Texts that a cast takes for an integer, of any size.
+_INTEGER = r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*\z"
 _ONE_CHILD = re.compile(r"<([a-z][\w-]*)\b[^>]*>(.*)</\1\s*>", re.I | re.S)
 
 
@@ -235,6 +237,12 @@ def deck_links(pages: DataFrame, mark: str = DECK_MARK) -> DataFrame:
     return links.filter(F.contains(F.lower("href"), F.lit(mark)))
 
 
+def whole_numbers(texts: Column) -> Column:
+    """The integers among the texts, in their order; others are left out before the cast, which is slow to refuse them."""
+    written = F.filter(texts, lambda t: t.rlike(_INTEGER))
+    return F.filter(F.transform(written, lambda t: t.try_cast("int")), lambda n: n.isNotNull())
+
+
 def deck_cards(pages: DataFrame) -> DataFrame:
     """Cards of a deck page: names and counts are parallel lists.
 
@@ -250,8 +258,7 @@ def deck_cards(pages: DataFrame) -> DataFrame:
         _first_texts,
         "names array<string>, counts array<string>",
     )
-    whole = F.filter(F.transform("counts", lambda c: F.trim(c).try_cast("int")), lambda c: c.isNotNull())
-    pairs = F.arrays_zip(F.col("names").alias("cardname"), whole.alias("cardquant"))
+    pairs = F.arrays_zip(F.col("names").alias("cardname"), whole_numbers(F.col("counts")).alias("cardquant"))
     return lists.select(*keys, F.inline(pairs).alias("cardname", "cardquant")).filter(
         F.col("cardname").isNotNull() & F.col("cardquant").isNotNull()
     )

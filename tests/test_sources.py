@@ -125,6 +125,37 @@ def test_deck_page(spark):
     assert rows(markup.deck_cards(pages)) == [("d1", "B", 2), ("d1", "One & Two", 4)]
 
 
+def test_counts_that_are_no_integers_cost_little(spark):
+    texts = ["3", " +3 ", "-3", "\t3\n", "3\x00", "0003", "2147483647", "2147483648", "$ 3", "3.5", "3 4", "", "+", None]
+    df = spark.createDataFrame([(texts,)], "t array<string>")
+    assert df.select(markup.whole_numbers(F.col("t"))).first()[0] == [3, 3, -3, 3, 3, 3, 2147483647]
+
+    def seconds(text):
+        cells = F.array_repeat(F.concat(F.lit(text), F.col("id") % 7), 50)
+        numbers = spark.range(20_000).select(F.size(markup.whole_numbers(cells)).alias("n"))
+        start = time.perf_counter()
+        numbers.agg(F.sum("n")).collect()
+        return time.perf_counter() - start
+
+    integers, others = (min(seconds(text) for _ in range(3)) for text in ("4", "n/a"))
+    assert others < 4 * integers
+
+
+def test_a_slice_of_a_batch_is_read_without_the_rest():
+    page = "<div>" + "x" * 50_000 + "</div>"
+    html = pa.array([page] * 1200)
+
+    def seconds(pages):
+        start = time.process_time()
+        for low, high in elements.slices(pages):
+            assert len(elements.read(pages.slice(low, high - low)).page) == high - low
+        return time.process_time() - start
+
+    few = pa.array(html.slice(0, 120).to_pylist())
+    small, large = (min(seconds(pages) for _ in range(2)) for pages in (few, html))
+    assert large < 25 * small
+
+
 def test_deck_page_without_end_tags(spark):
     html = """<div id="tab-paper"><table><tr><td class="text-right">4<td><a rel="popover">A</a><td class="text-right">$ 3
       <tr><td class="text-right"> 2 <b>x</b><td><a rel="popover">B<i>!</i></a><td class="text-right"><b>9</b></table></div>"""
