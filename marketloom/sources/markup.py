@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -24,6 +25,8 @@ DATE_CLASS = "POSITIVE"
 PRICE_BOX_CLASS = "s-item__price"
 SHIPPING_CLASS = "s-item__shipping s-item__logisticsCost"
 DECK_MARK = "/deck/"
+DECK_BOX = ("div", "id", "tab-paper")
+CARD_LINK, CARD_COUNT = ("a", "rel", "popover"), ("td", "class", "text-right")
 # End of fixed values.
 
 LISTING_FIELDS = {
@@ -33,10 +36,13 @@ LISTING_FIELDS = {
     "spans": "array<struct<cls:string,text:string>>",
     "shipping_text": "string",
 }
+CARD_FIELDS = {"cardname": "string", "cardquant": "int"}
 
 _ANY_TAG = re.compile(r"<[^>]*>")
 # Texts that a cast takes for an integer, of any size.
 _INTEGER = r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*\z"
+# The same in Python: sign and digits, of which more than ten are too many.
+_DIGITS = re.compile(r"[\x00-\x20\x7f]*([+-]?)0*([0-9]{1,10})[\x00-\x20\x7f]*")
 _ONE_CHILD = re.compile(r"<([a-z][\w-]*)\b[^>]*>(.*)</\1\s*>", re.I | re.S)
 
 
@@ -112,16 +118,21 @@ def listing_items(pages: DataFrame) -> DataFrame:
 
     A title with markup beside its text counts as missing.
     """
+    return _rows(pages, _items_of, LISTING_FIELDS)
+
+
+def _rows(pages: DataFrame, read_rows: Callable[[pa.Array], tuple[np.ndarray, list[pa.Array]]], fields: dict[str, str]) -> DataFrame:
+    """The rows, with their pages, that ``read_rows`` takes from many pages, beside the page's other columns."""
     types = {f.name: f.dataType.simpleString() for f in pages.schema.fields if f.name != "html"}
     keys = list(types)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            page, columns = _items_of(part.column("html"))
+            page, columns = read_rows(part.column("html"))
             kept = part.select(keys).take(pa.array(page))
-            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*keys, *LISTING_FIELDS])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*keys, *fields])
 
-    schema = ", ".join(f"`{k}` {t}" for k, t in (types | LISTING_FIELDS).items())
+    schema = ", ".join(f"`{k}` {t}" for k, t in (types | fields).items())
     return pages.select(*keys, "html").mapInArrow(parse, schema)
 
 
@@ -175,11 +186,14 @@ def result_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-def _in_region(html: pa.Array, container: tuple[str, str, str], wanted: list[tuple[str, str | None, str | None]], read_texts) -> list[pa.Array]:
-    """By page, lists of what ``read_texts`` takes from the wanted elements inside the first matching container."""
+Wanted = tuple[str, str | None, str | None]  # tag, attribute, one of its words
+
+
+def _inside(html: pa.Array, container: Wanted, wanted: list[Wanted]) -> tuple[Elements, list[np.ndarray]]:
+    """The elements of all pages, and which are the wanted ones inside the first matching container of their page."""
     e = read(html)
 
-    def matches(want: tuple[str, str | None, str | None]) -> np.ndarray:
+    def matches(want: Wanted) -> np.ndarray:
         tag, attribute, value = want
         return e.is_tag(tag) & e.has(lambda own: attribute is None or value in own.get(attribute, "").split())
 
@@ -189,14 +203,36 @@ def _in_region(html: pa.Array, container: tuple[str, str, str], wanted: list[tup
     low[pages], high[pages] = e.start[regions[first]], e.end[regions[first]]
     inside = (low[e.page] <= e.start) & (e.start < high[e.page])
     inside[regions[first]] = False
+    return e, [np.flatnonzero(inside & matches(want)) for want in wanted]
+
 
-    def lists(want: tuple[str, str | None, str | None]) -> pa.Array:
-        which = np.flatnonzero(inside & matches(want))
+def _in_region(html: pa.Array, container: Wanted, wanted: list[Wanted], read_texts) -> list[pa.Array]:
+    """By page, lists of what ``read_texts`` takes from the wanted elements inside the first matching container."""
+    e, found = _inside(html, container, wanted)
+
+    def lists(which: np.ndarray) -> pa.Array:
         counts = np.bincount(e.page[which], minlength=len(html))
         ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
         return pa.ListArray.from_arrays(ends, read_texts(e, which))
 
-    return [lists(want) for want in wanted]
+    return [lists(which) for which in found]
+
+
+def _cards_of(html: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of all pairs of a name and a count: the page, and the columns CARD_FIELDS."""
+    e, (links, cells) = _inside(html, DECK_BOX, [CARD_LINK, CARD_COUNT])
+    counts = _whole_numbers(_first_texts(e, cells))
+    whole = counts.is_valid()
+    counts, cells = counts.filter(whole), cells[whole.to_numpy(zero_copy_only=False)]
+
+    def paired(which: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Those that have one of the others at their place in the page."""
+        page, other = e.page[which], np.bincount(e.page[others], minlength=len(html))
+        own = np.bincount(page, minlength=len(html))
+        return np.arange(len(which)) - (np.cumsum(own) - own)[page] < other[page]
+
+    named, counted = links[paired(links, cells)], paired(cells, links)
+    return e.page[named], [_first_texts(e, named), counts.filter(pa.array(counted))]
 
 
 def _first_texts(e: Elements, which: np.ndarray) -> pa.Array:
@@ -243,6 +279,19 @@ def whole_numbers(texts: Column) -> Column:
     return F.filter(F.transform(written, lambda t: t.try_cast("int")), lambda n: n.isNotNull())
 
 
+@lru_cache(maxsize=4096)
+def _whole_number(text: str) -> int | None:
+    digits = _DIGITS.fullmatch(text)
+    number = int(digits[1] + digits[2]) if digits else None
+    return number if digits and -(2**31) <= number < 2**31 else None
+
+
+def _whole_numbers(texts: pa.Array) -> pa.Array:
+    """Of each text the integer that ``whole_numbers`` takes it for, or null; each different text is read once."""
+    different = texts.dictionary_encode()
+    return pa.array(map(_whole_number, different.dictionary.to_pylist()), pa.int32()).take(different.indices)
+
+
 def deck_cards(pages: DataFrame) -> DataFrame:
     """Cards of a deck page: names and counts are parallel lists.
 
@@ -250,15 +299,4 @@ def deck_cards(pages: DataFrame) -> DataFrame:
     no integers are left out first; a pair needs both sides, so the longer list
     is cut to the shorter one.
     """
-    keys = [c for c in pages.columns if c != "html"]
-    lists = _page_lists(
-        pages,
-        ("div", "id", "tab-paper"),
-        [("a", "rel", "popover"), ("td", "class", "text-right")],
-        _first_texts,
-        "names array<string>, counts array<string>",
-    )
-    pairs = F.arrays_zip(F.col("names").alias("cardname"), whole_numbers(F.col("counts")).alias("cardquant"))
-    return lists.select(*keys, F.inline(pairs).alias("cardname", "cardquant")).filter(
-        F.col("cardname").isNotNull() & F.col("cardquant").isNotNull()
-    )
+    return _rows(pages, _cards_of, CARD_FIELDS)

@@ -1,6 +1,7 @@
 import datetime as dt
 import io
 import json
+import random
 import time
 import zipfile
 
@@ -116,6 +117,39 @@ def test_deck_pages_are_read_at_once():
     assert 2 * together < time.process_time() - start
 
 
+def test_each_different_tag_is_read_once():
+    row = '<td class="text-right">4</td><td><a rel="popover" href="/c">A</a></td>'
+    html = pa.array([f'<div id="tab-online">{row}</div><div id="tab-paper"><table><tr>{row * 9}</tr></table></div>'] * 3000)
+
+    def seconds(run):
+        start = time.process_time()
+        run()
+        return time.process_time() - start
+
+    together = min(seconds(lambda: [elements.read(html.slice(low, high - low)) for low, high in elements.slices(html)]) for _ in range(3))
+    assert 9 * together < min(seconds(lambda: [elements.elements(page) for page in html.to_pylist()]) for _ in range(2))
+
+
+def test_any_pages_are_read_as_by_a_scan():
+    parts = [
+        "<div>", "</div>", "<DIV id=x>", "<td>", "</td >", "<tr>", "</tr>", "<table>", "</table>", '<a b="x>y">', "<a b='\"'>", "</a>", "<span/>",
+        "<span>", "</span>", "<!--", "-->", "<script>", "</script>", "<p>", "<", "> ", "é😀", "x", "<ſpan>", "<tdé>", "<table", "</", "'", '"', "<!x>",
+    ]
+    some = random.Random(4)
+    for _ in range(300):
+        pages = ["".join(some.choices(parts, k=some.randrange(9))) for _ in range(20)]
+        pages += [f"<div>{page}</div>" for page in pages[:3]] + ["<div><span a='1'>é</span><table><tr><td>1</td></tr></table></div>"]
+        e, found, start = elements.read(pa.array(["<div>", *pages]).slice(1)), 0, 0
+        for page in pages:
+            alone = elements.elements(page)
+            for i, x in enumerate(alone, found):
+                assert e.attributes[e.kind[i]] == x.attributes and (x.tag == "ſpan" or elements.TAGS[e.tag[i]] == x.tag)
+                assert (e.start[i] - start, e.end[i] - start) == tuple(len(page[:at].encode()) for at in (x.start, x.end))
+                assert e.parent[i] == (x.parent + found if x.parent >= 0 else -1)
+            found, start = found + len(alone), start + len(page.encode())
+        assert found == len(e.page)
+
+
 def test_deck_page(spark):
     html = """<div id="tab-online"><a rel="popover">No</a></div>
       <div class="x" id="tab-paper"><div><table><td class="text-right"> 4 </td><a rel="popover" href="#">One &amp; Two</a>
@@ -141,6 +175,20 @@ def test_counts_that_are_no_integers_cost_little(spark):
     assert others < 4 * integers
 
 
+def test_cards_leave_python_as_pairs(spark):
+    texts = [
+        "3", " +3 ", "-3", "\t3\n", "3\x00", "\x7f-0", "0003", "0" * 5000 + "7", "2147483647", "2147483648", "-2147483648", "-2147483649",
+        "9" * 5000, "$ 3", "3.5", "3 4", "1_0", "٣", "3\u00a0", "", "+", " ",
+    ]
+    cast = spark.createDataFrame([(texts,)], "t array<string>").select(markup.whole_numbers(F.col("t"))).first()[0]
+    assert [n for n in markup._whole_numbers(pa.array(texts)).to_pylist() if n is not None] == cast
+    cells = "".join(f'<td class="text-right">{t}</td><td><a rel="popover">{i}</a></td>' for i, t in enumerate(texts))
+    pages = spark.createDataFrame([(1, f'<div id="tab-paper">{cells}</div>'), (2, None)], "deck int, html string")
+    cards = markup.deck_cards(pages)
+    assert [tuple(r) for r in cards.collect()] == [(1, str(i), n) for i, n in enumerate(cast)]
+    assert "Generate" not in cards._jdf.queryExecution().toString()  # no lists, which the JVM would take apart element by element
+
+
 def test_a_slice_of_a_batch_is_read_without_the_rest():
     page = "<div>" + "x" * 50_000 + "</div>"
     html = pa.array([page] * 1200)
